@@ -6,7 +6,7 @@ L1 term leaves most weights at exactly zero, so the model travels as a short lis
 weights in the task closure. Scoring is one pass over all texts without any shuffle.
 
 The fit uses a bounded, documented sample (``ToxicityParams.per_class`` rows of each class), with both
-classes of equal weight. Edge cases are those of the quality classifier: null and empty texts
+classes of equal weight; coordinates that few of its rows have are not learnt. Edge cases are those of the quality classifier: null and empty texts
 score the intercept; without labelled rows of both classes every score is 0.0 or 1.0 as the one class
 says (0.0 if there is none).
 """
@@ -30,11 +30,12 @@ from tidestore.llm._text import chunks, mix, ngrams, words
 class ToxicityParams:
     bits: int = 20
     per_class: int = 6000  # bound of the labelled sample, for each class
-    alpha: float = 0.5  # learning rate
+    alpha: float = 1.0  # learning rate
     beta: float = 1.0
-    l1: float = 1.0
+    l1: float = 0.0025  # for each row of the sample
     l2: float = 0.1
-    epochs: int = 8
+    epochs: int = 6
+    min_docs: int = 5  # of the sample's documents must have a coordinate that is learnt
     threshold: float = 0.7
 
 
@@ -60,10 +61,10 @@ def ftrl_proximal(label: np.ndarray, rows: list[np.ndarray], weight: np.ndarray,
     size = 1 << params.bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     rows = [np.append(x, size) for x in rows]  # the last coordinate is the intercept
-    rng = np.random.default_rng(7)
+    rng, threshold = np.random.default_rng(7), max(0.5, params.l1 * len(rows))
 
     def current(x: np.ndarray) -> np.ndarray:
-        own, l1 = z[x], np.where(x == size, 0.0, params.l1)
+        own, l1 = z[x], np.where(x == size, 0.0, threshold)
         return np.where(np.abs(own) <= l1, 0.0, -(own - np.sign(own) * l1) / ((params.beta + np.sqrt(n[x])) / params.alpha + params.l2))
 
     for _ in range(params.epochs):
@@ -85,7 +86,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", param
     if len(set(y.tolist())) < 2:
         return ToxicityModel(np.zeros(0, np.int32), np.zeros(0, np.float32), 40.0 if len(y) and y[0] else -40.0)
     each = np.array([len(y) / (2 * (y == c).sum()) for c in (0, 1)])
-    w, bias = ftrl_proximal(y, rows, each[y], params)
+    common = np.bincount(np.concatenate(rows), minlength=1 << params.bits) >= params.min_docs
+    w, bias = ftrl_proximal(y, [x[common[x]] for x in rows], each[y], params)
     kept = np.flatnonzero(w)
     return ToxicityModel(kept.astype(np.int32), w[kept].astype(np.float32), bias)
 
