@@ -105,3 +105,42 @@ def ngrams(h: np.ndarray, doc: np.ndarray, gaps: tuple[int, ...]) -> tuple[np.nd
         out = out * np.uint64(0xD6E8FEB86659FD93) + h[g : g + n]
     inside = doc[:n] == doc[last:]
     return mix(out + np.uint64(sum(gaps) * 31 + len(gaps)))[inside], doc[:n][inside]
+
+
+def spans(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
+    """Strings at the given places of a chunk's bytes."""
+    ends = np.concatenate(([0], np.cumsum(length, dtype=np.int64)))
+    at = np.repeat(start - ends[:-1], length) + np.arange(ends[-1])
+    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data[at])))
+
+
+class HashIndex:
+    """Positions of distinct 64-bit keys, by linear probing."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.bits = max(4, int(len(keys) * 8).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        todo, at = np.arange(len(keys)), (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(todo):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = todo[free]
+            left = self.slots[at] != todo
+            todo, at = todo[left], (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Position of each key, -1 for those that aren't there."""
+        out = np.full(len(keys), -1, np.int32)
+        if not len(self.keys) or not len(keys):
+            return out
+        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        got = self.slots[at]
+        todo = np.flatnonzero(got >= 0)
+        at, got = at[todo], got[todo]
+        while len(todo):
+            same = self.keys[got] == keys[todo]
+            out[todo[same]] = got[same]
+            todo, at = todo[~same], (at[~same] + 1) & ((1 << self.bits) - 1)
+            got = self.slots[at]
+            todo, at, got = todo[got >= 0], at[got >= 0], got[got >= 0]
+        return out
