@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidestore.llm import ann, lattice_lm, line_dedup, media, mixing, near_dup, packing, quality, toxicity
+from tidestore.llm import ann, lattice_lm, line_dedup, media, mixing, near_dup, packing, quality, substring_dedup, toxicity
 from tidestore.llm._frames import table
 
 
@@ -38,6 +38,10 @@ def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_report(table(spark, sf_dir, "documents"))
+
+
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_report(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ _ALL = (
     op5_prefix_forest,
     op6_ogg_media,
     op7_curriculum_mix,
+    op8_suffix_dedup,
     op9_harmonic_packing,
     op10_lattice_lm,
 )
