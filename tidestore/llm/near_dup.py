@@ -4,13 +4,14 @@
    the set's size, a 128-bit fingerprint and ``bands * rows`` universal-hash minima.
 2. Equal sets are one class, represented by the smallest id; the rest works on representatives.
 3. Bands of ``rows`` minima are bucketed. Round one ties every bucket's members to its least member
-   (one pair a member). Round two looks only at buckets that still hold several components, and
-   compares members of different components, block by block: a bucket is cut into blocks of bounded
-   size, and a task sees two blocks. Nothing is capped, and no pair is emitted before its signatures
-   agree well enough.
-4. Pairs whose signatures could reach the threshold are confirmed on full sets (recomputed for the
-   documents concerned only), so a link is exact up to 64-bit hash collisions inside two documents.
-5. Components come from alternating large-star and small-star rounds.
+   (one pair a member); pairs whose signatures could reach the threshold are confirmed on full sets.
+4. Round two looks only at buckets that still hold several components, and compares members of
+   different components, block by block: a bucket is cut into blocks of bounded size, and a task sees
+   two blocks. A first pass compares signatures and names the members that have a possible partner;
+   a second one has their full sets, confirms, and returns only links that tie components together,
+   at most one less than the components there. Nothing is capped and no pairs are listed.
+5. Full sets are recomputed for the documents concerned, so a link is exact up to 64-bit hash collisions
+   inside two documents. Components come from alternating large-star and small-star rounds.
 
 A pair at the threshold is missed with probability ``miss`` at most (see ``bands_for``). Skipping pairs
 that already are in one component cannot change components.
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidestore.llm._frames import written
+from tidestore.llm._frames import own_names, written
 from tidestore.llm._text import chunks, mix, ngrams, words
 from tidestore.llm.components import connected_components
 
@@ -44,7 +45,7 @@ class NearDupParams:
     percent: int = 80  # similarity, in hundredths, at which documents are linked
     rows: int = 5  # minima in a band
     miss: float = 1e-6  # chance that a pair at the threshold shares no band
-    block: int = 256  # members of a bucket that one task compares with as many others
+    block: int = 512  # members of a bucket that one task compares with as many others
 
     @property
     def bands(self) -> int:
@@ -113,10 +114,10 @@ def _signatures(docs: DataFrame, params: NearDupParams) -> DataFrame:
 
 
 def _band_keys(reps: DataFrame, params: NearDupParams) -> DataFrame:
-    """(key, id) for every band of every representative."""
+    """(key, band, id) for every band of every representative."""
     width = params.rows * 4
     bands = F.transform(F.sequence(F.lit(0), F.lit(params.bands - 1)), lambda j: F.xxhash64(j, F.substring("signature", j * width + 1, F.lit(width))))
-    return reps.select("id", F.explode(bands).alias("key"))
+    return reps.select("id", F.posexplode(bands).alias("band", "key"))
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, params: NearDupParams) -> DataFrame:
@@ -144,9 +145,8 @@ def _sizes_allow(a: str, b: str, params: NearDupParams):
     return F.least(a, b) * 100 >= F.greatest(a, b) * params.percent
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, params: NearDupParams) -> DataFrame:
-    """The pairs that reach the threshold on their full sets."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def _full_sets(docs: DataFrame, needed: DataFrame, params: NearDupParams) -> DataFrame:
+    """(id, shingles) of the documents in ``needed`` (id)."""
     shingle = params.shingle
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,41 +156,82 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, params: NearDupParams) -> Data
                 own = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))
                 yield pa.record_batch([batch.column(0).slice(a, b - a), own], ["id", "shingles"])
 
+    needed = needed.distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
     few = needed.count() <= 1_000_000  # ids of 8 bytes; beyond that Spark shuffles both sides
-    texts = texts.join(F.broadcast(needed) if few else needed, "id", "left_semi")
-    sets = texts.mapInArrow(run, "id long, shingles array<bigint>")
+    return texts.join(F.broadcast(needed) if few else needed, "id", "left_semi").mapInArrow(run, "id long, shingles array<bigint>")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, params: NearDupParams) -> DataFrame:
+    """The pairs that reach the threshold on their full sets."""
+    sets = _full_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), params)
     both = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return both.where(shared * 100 >= (F.size("set_a") + F.size("set_b") - shared) * params.percent).select("a", "b").distinct()
 
 
-def _across_components(keys: DataFrame, reps: DataFrame, component: DataFrame, params: NearDupParams) -> DataFrame:
-    """Pairs of bucket mates in different components whose signatures agree well enough."""
-    named = keys.join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("key", "n")
-    block = F.pmod(F.xxhash64("id", "key"), F.col("blocks"))
-    members = named.join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / params.block).cast("long")).withColumn("block", block)
+_CELL = ["band", "key", "i", "j"]
+
+
+def _across_components(keys: DataFrame, reps: DataFrame, component: DataFrame, docs: DataFrame, params: NearDupParams) -> DataFrame:
+    """Links (a, b) between bucket mates in different components, enough to tie together all that are linked."""
+    named = keys.join(component, "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = named.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("band", "key", "n")
+    members = named.join(mixed, ["band", "key"]).withColumn("blocks", F.ceil(F.col("n") / params.block).cast("long"))
+    members = members.withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")))
     signed = members.join(reps.select("id", "signature", "n_shingles"), "id")
     spread = signed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n_shingles", "signature")
-    least, percent = _least_agreement(params), params.percent
+    cells = spread.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n_shingles", "signature")
+    least, percent, bands, rows = _least_agreement(params), params.percent, params.bands, params.rows
 
-    def run(group: pa.Table) -> pa.Table:
+    def possible(group: pa.Table) -> pa.Table:
         ids, comp, n, side = (group.column(c).to_numpy() for c in ("id", "component", "n_shingles", "block"))
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        band, i, j = (group.column(c)[0].as_py() for c in ("band", "i", "j"))
         sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(len(ids), -1)
         a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        out = [np.zeros((0, 2), np.int64)]
+        hit = np.zeros(len(ids), bool)
         for x in a:
-            other = b[(comp[b] != comp[x]) & ((ids[b] > ids[x]) if i == j else True)]
+            other = b[comp[b] != comp[x]]
             other = other[np.minimum(n[other], n[x]) * 100 >= np.maximum(n[other], n[x]) * percent]
-            other = other[(sig[other] == sig[x]).sum(axis=1) >= least]
-            out.append(np.stack([np.minimum(ids[other], ids[x]), np.maximum(ids[other], ids[x])], 1))
-        pairs = np.concatenate(out)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+            same = sig[other] == sig[x]
+            # the first band in which two meet is the one that compares them
+            fits = (same.sum(axis=1) >= least) & ~same.reshape(len(other), bands, rows)[:, :band].all(axis=2).any(axis=1)
+            hit[other[fits]] = True
+            hit[x] |= fits.any()
+        return group.select([*_CELL, "block", "id", "component"]).filter(pa.array(hit))
 
-    return cells.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    flagged = written(cells.groupBy(*_CELL).applyInArrow(possible, "band int, key long, i long, j long, block long, id long, component long"))
+
+    def confirm(group: pa.Table) -> pa.Table:
+        ids, comp, side = (group.column(c).to_numpy() for c in ("id", "component", "block"))
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        sets = group.column("shingles").combine_chunks()
+        codes = np.unique(sets.flatten().to_numpy(), return_inverse=True)[1]
+        size = np.array([len(x) for x in sets])
+        at = np.concatenate(([0], np.cumsum(size)))
+        tied = {c: c for c in comp.tolist()}
+
+        def root(c: int) -> int:
+            while tied[c] != c:
+                tied[c] = tied[tied[c]]
+                c = tied[c]
+            return c
+
+        seen, found = np.zeros(int(codes.max()) + 1, bool), [[], []]
+        for x in np.flatnonzero(side == i):
+            seen[codes[at[x] : at[x + 1]]] = True
+            shared = np.add.reduceat(seen[codes].astype(np.int64), at[:-1])
+            seen[codes[at[x] : at[x + 1]]] = False
+            for y in np.flatnonzero((side == j) & (comp != comp[x]) & (shared * 100 >= (size + size[x] - shared) * percent)):
+                p, q = root(int(comp[x])), root(int(comp[y]))
+                if p != q:
+                    tied[p] = q
+                    found[0].append(min(ids[x], ids[y]))
+                    found[1].append(max(ids[x], ids[y]))
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+    full = flagged.join(_full_sets(docs, flagged.select("id"), params), "id")
+    return full.groupBy(*_CELL).applyInArrow(confirm, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:
@@ -201,12 +242,12 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     reps = classes.select("id", "n_shingles", "signature")
 
     keys = written(_band_keys(reps, params))
-    least = keys.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    star = keys.join(least, "key").where("id > a").select("a", F.col("id").alias("b")).distinct()
+    least = keys.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "key", "a")
+    star = keys.join(least, ["band", "key"]).where("id > a").select("a", F.col("id").alias("b")).distinct()
     first = written(_confirmed(written(_likely(star, reps, params)), docs, params))
     copies = sets.select("doc_id", "set_hi", "set_lo", "n_shingles").join(classes.drop("signature"), ["set_hi", "set_lo", "n_shingles"]).select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     found = connected_components(first)
-    second = _confirmed(written(_across_components(keys, reps, found, params)), docs, params)
+    second = written(_across_components(keys, reps, found, docs, params))
     # copies are star links to their representative; a repeated id ties the classes of its rows together
     repeated = copies.groupBy("b").agg(F.min("a").alias("a"), F.max("a").alias("z")).where("a != z").select("b").join(copies, "b").select("a", "b")
     stars = found.select(F.col("component").alias("a"), F.col("id").alias("b"))
@@ -224,8 +265,9 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
 
 def drop_near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:
     """One document of each group, the one with the smallest id, with all its columns."""
-    gone = near_duplicates(docs, params).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = own_names(docs) + "gone"
+    gone = near_duplicates(docs, params).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def near_dup_report(docs: DataFrame) -> DataFrame:
