@@ -34,3 +34,11 @@ def text_bytes(df: DataFrame, col: str = "text") -> Column:
 
 def crc_of_id(col: str = "doc_id") -> Column:
     return F.crc32(F.col(col).cast("string"))
+
+
+def own_names(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` starts with, for columns that an operator adds for itself."""
+    prefix = "_op_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix

@@ -32,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidestore.llm._frames import written
+from tidestore.llm._frames import own_names, written
 
 BLANK = " \t\r\v\f"
 
@@ -107,15 +107,17 @@ def removed_lines(docs: DataFrame, params: LineDedupParams = LineDedupParams())
 
 def dedup_lines(docs: DataFrame, params: LineDedupParams = LineDedupParams(), removed: str | None = None) -> DataFrame:
     """``docs`` with the lines that stay; ``removed`` names a column for the numbers of those that went."""
-    gone = removed_lines(docs, params).select(F.col("doc_id").alias("_gone_id"), F.col("removed").alias("_gone"))
-    gone = _small(gone, F.size("_gone") * 4 + 40, params.broadcast_bytes)
-    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left")
+    own = own_names(docs)
+    id_, numbers = own + "id", own + "removed"
+    gone = removed_lines(docs, params).select(F.col("doc_id").alias(id_), F.col("removed").alias(numbers))
+    gone = _small(gone, F.size(numbers) * 4 + 40, params.broadcast_bytes)
+    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col(id_), "left")
     lines = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(numbers))
     kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept).alias("text")
+    text = F.when(F.col(numbers).isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept).alias("text")
     columns = [text if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*columns, *([F.coalesce("_gone", F.array().cast("array<int>")).alias(removed)] if removed else []))
+    return joined.select(*columns, *([F.coalesce(numbers, F.array().cast("array<int>")).alias(removed)] if removed else []))
 
 
 def line_dedup_report(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidestore.llm._frames import written
+from tidestore.llm._frames import own_names, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -80,11 +80,11 @@ def _sources(sized: DataFrame, params: MixParams) -> tuple[DataFrame, int]:
     return sized.sparkSession.createDataFrame(data, schema), max((r["n"] for r in rows), default=0)
 
 
-def _position(place: Column) -> Column:
+def _position(place: Column, target: Column, slope: Column) -> Column:
     """Training time at which the source's cumulative demand reaches ``place`` words."""
-    y = F.when(F.col("target") > 0, F.least(place / F.col("target"), F.lit(1.0))).otherwise(F.lit(0.0))
-    fall = 1 - F.col("slope")
-    root = fall + F.sqrt(fall * fall + 4 * F.col("slope") * y)
+    y = F.when(target > 0, F.least(place / target, F.lit(1.0))).otherwise(F.lit(0.0))
+    fall = 1 - slope
+    root = fall + F.sqrt(fall * fall + 4 * slope * y)
     return F.when(root > 0, 2 * y / root).otherwise(F.lit(0.0))
 
 
@@ -112,7 +112,7 @@ def mix_plan(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
         placed.withColumn("first_take", part(F.col("place")))
         .withColumn("second_take", part(F.col("source_size") + F.col("place")))
         .withColumn("taken", F.col("first_take") + F.col("second_take"))
-        .withColumn("position", F.when(F.col("taken") > 0, _position(F.col("place"))))
+        .withColumn("position", F.when(F.col("taken") > 0, _position(F.col("place"), F.col("target"), F.col("slope"))))
         .select("doc_id", "key", "source", "source_no", "size", "source_size", "target", "slope", "first_take", "second_take", "taken", "position")
     )
 
@@ -126,15 +126,16 @@ def mix_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame
     plan = written(mix_plan(docs, params).select("source", "source_no", "key", "size", "source_size", "target", "slope", "first_take", "second_take"))
     whole = lambda take: F.max(F.when(F.col(take) * 2 >= F.col("size"), F.when(F.col(take) > 0, F.col("key"))))
     cuts = plan.groupBy("source", "source_no", "source_size", "target", "slope").agg(whole("first_take").alias("_cut1"), whole("second_take").alias("_cut2"))
-    cuts = cuts.select(F.col("source").alias("_source"), "_cut1", "_cut2", F.struct("source_size", "target", "slope").alias("_of"))
-    names = docs.columns
-    keyed = docs.withColumn("_key", _order_key("doc_id")).join(F.broadcast(cuts), F.col("source").cast("string").eqNullSafe(F.col("_source")))
-    takes = F.coalesce((F.col("_key") <= F.col("_cut1")).cast("int"), F.lit(0)) + F.coalesce((F.col("_key") <= F.col("_cut2")).cast("int"), F.lit(0))
-    repeated = keyed.withColumn("_takes", takes).where("_takes > 0").withColumn("_take", F.explode(F.sequence(F.lit(0), F.col("_takes") - 1)))
-    share = F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    placed = repeated.select(*names, "_key", "_of.*", ((share + F.col("_take")) * F.col("_of.source_size")).alias("_place"))
-    ranked = placed.withColumn("_position", _position(F.col("_place")))
-    return ranked.repartitionByRange("_position", "_key").sortWithinPartitions("_position", "_key").select(*names)
+    own, names = own_names(docs), docs.columns
+    source, key, cut1, cut2, of, take, position = (own + x for x in ("source", "key", "cut1", "cut2", "of", "take", "position"))
+    cuts = cuts.select(F.col("source").alias(source), F.col("_cut1").alias(cut1), F.col("_cut2").alias(cut2), F.struct("source_size", "target", "slope").alias(of))
+    keyed = docs.withColumn(key, _order_key("doc_id")).join(F.broadcast(cuts), F.col("source").cast("string").eqNullSafe(F.col(source)))
+    in_pass = lambda cut: F.coalesce((F.col(key) <= F.col(cut)).cast("int"), F.lit(0))
+    repeated = keyed.withColumn(take, F.explode(F.expr("sequence(0, 1)"))).where(F.col(take) < in_pass(cut1) + in_pass(cut2))
+    share = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    place = (share + F.col(take)) * F.col(of)["source_size"]
+    placed = repeated.withColumn(position, _position(place, F.col(of)["target"], F.col(of)["slope"]))
+    return placed.repartitionByRange(position, key).sortWithinPartitions(position, key).select(*(F.col(f"`{c}`") for c in names))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
