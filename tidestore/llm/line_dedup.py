@@ -29,7 +29,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidestore.llm._frames import own_names, written
@@ -78,15 +78,20 @@ def near_lines(lines: DataFrame, params: LineDedupParams = LineDedupParams()) ->
     classes = long_lines.join(mates, "h1", "left_semi").groupBy("h1", "h2").agg(F.min(place).alias("place"), F.min("line").alias("line"))
     classes = written(classes.select("place", "line"))
 
-    n = F.length("line")
-    variant = lambda i: F.xxhash64(F.concat(F.left("line", i), F.substring("line", i + 2, n)))
-    deletions = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(variant(i).alias("key"), i.alias("at")))
-    rows = classes.select("place", F.explode(deletions).alias("v")).select("place", "v.key", "v.at")
-    earliest = rows.groupBy("key", "at").agg(F.min("place").alias("earlier"), F.count("*").alias("n")).where("n > 1").drop("n")
-    replaced = rows.join(earliest, ["key", "at"]).where("place > earlier").select("place", "earlier")
-    whole = classes.select(F.xxhash64("line").alias("key"), F.col("place").alias("whole"))
-    shorter = rows.join(whole, "key").select(F.greatest("place", "whole").alias("place"), F.least("place", "whole").alias("earlier"))
-    links = replaced.unionByName(shorter).distinct()
+    # one row a deleted place, and one (at -1) for the line itself
+    at = classes.select("place", "line", F.explode(F.sequence(F.lit(-1), F.length("line") - 1)).alias("at"))
+    left = F.concat(F.left("line", F.col("at")), F.substring("line", F.col("at") + 2, F.length("line")))
+    rows = at.select("place", "at", F.xxhash64(F.when(F.col("at") < 0, F.col("line")).otherwise(left)).alias("key"))
+    # one shuffle and one sort serve both: a running first value needs no group in memory
+    of_key = Window.partitionBy("key").orderBy("at", "place").rowsBetween(Window.unboundedPreceding, 0)
+    of_place = Window.partitionBy("key", "at").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    known = rows.withColumn("whole", F.first(F.when(F.col("at") < 0, F.col("place"))).over(of_key)).withColumn("first", F.first("place").over(of_place))
+    deleted = known.where("at >= 0")
+    links = F.array(
+        F.when(F.col("first") < F.col("place"), F.struct("place", F.col("first").alias("earlier"))),
+        F.when(F.col("whole").isNotNull(), F.struct(F.greatest("place", "whole").alias("place"), F.least("place", "whole").alias("earlier"))),
+    )
+    links = deleted.where("first < place or whole is not null").select(F.explode(F.array_compact(links)).alias("l")).select("l.*").distinct()
 
     text = classes.select(F.col("place").alias("_place"), F.col("line"))
     both = links.join(text.withColumnRenamed("line", "a"), F.col("place") == F.col("_place")).drop("_place")
