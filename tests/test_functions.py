@@ -133,8 +133,8 @@ def test_settings():
     for bad in ("1 day", "P", "PT", "P1Y", ""):
         with pytest.raises(ValueError):
             duration_us(bad)
-    c = StoreConfig().with_text(base_dir=" /x ", partition="", flush_rows="10", compression="lz4_raw", compaction=False)
-    assert (c.base_dir, c.partition_us, c.flush_rows, c.compression, c.compaction) == ("/x", 86_400_000_000, 10, "lz4_raw", False)
+    c = StoreConfig().with_text(base_dir=" /x ", partition="", flush_rows="10", compression="lz4_raw", compact_on="false", compaction="PT2H")
+    assert (c.base_dir, c.partition_us, c.flush_rows, c.compression, c.compact_on, c.compaction_us) == ("/x", 86_400_000_000, 10, "lz4_raw", False, 7_200_000_000)
     for bad in ({"flush_rows": "0"}, {"partition": "PT30S"}, {"compression": "GZIP"}, {"nothing": "1"}):
         with pytest.raises(ValueError):
             StoreConfig().with_text(**bad)

@@ -113,7 +113,7 @@ class StoreConfig:
     prune_catalog: bool = True
     flush_rows: int = 8192
     flush_us: int = field(default_factory=lambda: duration_us("PT60S"))
-    compaction: bool = True
+    compact_on: bool = True
     compaction_us: int = field(default_factory=lambda: duration_us("PT1H"))
 
     def __post_init__(self) -> None:
@@ -140,7 +140,7 @@ class StoreConfig:
                 changed[target] = check_codec(text)
             elif target == "flush_rows":
                 changed[target] = int(text)
-            elif target in ("prune_catalog", "compaction"):
+            elif target in ("prune_catalog", "compact_on"):
                 changed[target] = text.strip().lower() == "true"
             else:
                 changed[target] = text.strip()

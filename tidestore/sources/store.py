@@ -319,7 +319,7 @@ class SampleStore:
     def maintain(self) -> dict[str, int]:
         """Retention, then compaction, as one timed round does; a failing part is reported and the other still runs."""
         done: dict[str, int] = {}
-        for name, run in (("deleted", self.sweep), ("compacted", self.compact if self.config.compaction else None)):
+        for name, run in (("deleted", self.sweep), ("compacted", self.compact if self.config.compact_on else None)):
             if run is None:
                 continue
             try:
