@@ -357,7 +357,7 @@ def read_sharded_layout(spark: SparkSession, base_dir: str, metrics: DataFrame)
     from tidestore.functions.paths import from_micros, shard_path
 
     files = spark.read.schema("time bigint, name string, value double").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*.parquet").option("ignoreCorruptFiles", "true").parquet(data_root(base_dir))
-    path = F.regexp_extract(F.url_decode(F.regexp_replace(F.regexp_replace("_metadata.file_path", "%25", "%2525"), r"\+", "%2B")), r"/data/(.*)/(p=[^/]*)/[^/]*$", 1)
+    path = F.regexp_extract(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")), r"/data/(.*)/(p=[^/]*)/[^/]*$", 1)
     label = F.regexp_extract("_metadata.file_path", r"/(p=[^/]*)/[^/]*$", 1)
     rows = files.select(path.alias("_shard"), F.substring(label, 3, 64).alias("p"), "name", from_micros("time").alias("time"), "value")
     shards = cat.series(metrics).where("resource_id is not null").select("resource_id", shard_path("resource_id").alias("_shard")).distinct()
