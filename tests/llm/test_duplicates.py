@@ -165,14 +165,14 @@ def removed(rows, length=50):
     return out
 
 
-@pytest.mark.parametrize("frequent", [20_000, 1])
+@pytest.mark.parametrize("frequent", [20_000, 3])
 def test_substrings_equal_brute_force(spark, make_docs, frequent):
     rng, rows = random.Random(2), corpus()
     passage, other = "é" + words(30, 500), words(12, 501)
     rows += [(1000 + i, words(20, 600 + i) + passage[rng.randrange(9) :] + words(9, 700 + i) + other) for i in range(25)]
     rows += [(2000, "ab" * 200), (2001, "ab" * 30), (2002, "x" * 49), (2003, "x" * 49), (2004, "x" * 50), (2005, "x" * 51), (None, passage), (2006, "\0" * 60), (2007, "\0" * 55)]
     rows += [(2000, "ab" * 200)]
-    params = substring_dedup.SubstringParams(anchor_contexts=frequent, block_bytes=2000, batch_bytes=3000)
+    params = substring_dedup.SubstringParams(anchor_rows=frequent, block_bytes=2000, batch_bytes=3000, context_bytes=3000)
     got = substring_dedup.dedup_substrings(make_docs(rows), params).collect()
     want = removed(rows)
     assert len(got) == len(rows)

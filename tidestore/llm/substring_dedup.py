@@ -10,8 +10,8 @@ Strings are judged on the input; matches never cross documents.
    are hashed to buckets, and a bucket tells which of them occur in several documents. A string whose
    anchor does not is settled: it occurs in one document only.
 3. For the others the *context* of the anchor, the run of bytes that holds all strings with that anchor,
-   is counted once by content with the least document id, and dealt to shards by anchor, so that equal
-   strings meet in a shard.
+   is kept once by content in each batch, with its least document id, and dealt to shards by anchor, so
+   that equal strings meet in a shard. Texts and contexts are compressed before they are shuffled.
 4. A shard is cut into blocks of bounded size. A block's suffix array is refined from eight-byte
    ranks by doubling, as Larsson and Sadakane do: only groups that are still tied are sorted again.
    Kasai's recursion, run in lockstep over many stretches of the text, gives the common prefixes. Suffixes
@@ -20,8 +20,9 @@ Strings are judged on the input; matches never cross documents.
 5. Contexts get the least id of each of their strings; what a smaller id covers is joined to spans.
 
 No step holds more than a batch of documents, a bucket or a block. A frequent passage costs each batch
-one entry a distinct anchor or context; what grows with its copies are their own rows, which are joined
-by content, where Spark splits a hot key.
+one entry a distinct anchor or context; what grows with its copies are their own rows (five
+numbers each), which are joined by content, where Spark splits a hot key. Anchors of more documents
+than a shard should hold have their strings counted one by one in a plain aggregation instead.
 
 Edge cases: null and empty texts have no bytes; texts shorter than ``length`` lose nothing. Rows without
 an id lose nothing and make none lose. Rows that share an id never make each other lose; equal rows give
@@ -40,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidestore.llm._frames import text_bytes, written
-from tidestore.llm._text import binary_column, chunks, mix
+from tidestore.llm._text import _BASE, _BYTE_VALUE, chunks, mix
 
 _POSITION = np.uint64((1 << 28) - 1)
 
@@ -52,7 +53,8 @@ class SubstringParams:
     bucket_bytes: int = 128 << 20  # of text for each bucket of anchors
     shard_bytes: int = 16 << 20  # of text for each shard of contexts
     block_bytes: int = 2 << 20  # of contexts in one suffix array
-    anchor_contexts: int = 20_000  # distinct contexts of one anchor that a shard takes
+    anchor_rows: int = 20_000  # documents with one anchor from which on its strings are counted one by one
+    context_bytes: int = 16 << 20  # of contexts that leave a task together
     batch_bytes: int = 32 << 20  # of text whose anchors leave a task together
     broadcast_bytes: int = 16 << 20
 
@@ -116,8 +118,8 @@ def _pack(bucket: int, ids: np.ndarray, rows: np.ndarray, hashes: np.ndarray, fl
 
 
 def shared_anchors(rows: DataFrame, buckets: int, params: SubstringParams) -> DataFrame:
-    """row, hashes (32-bit): the anchors of each row that other documents have too."""
-    length, gram, most = params.length, params.gram, params.batch_bytes
+    """row, hashes, often (32-bit): the anchors of each row that other documents have too, and those that very many have."""
+    length, gram, most, most_rows = params.length, params.gram, params.batch_bytes, params.anchor_rows
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -168,46 +170,138 @@ def shared_anchors(rows: DataFrame, buckets: int, params: SubstringParams) -> Da
         first = np.flatnonzero(np.concatenate(([True], low[order][1:] != low[order][:-1])))
         sorted_ids = ids[order]
         several = np.minimum.reduceat(sorted_ids, first) != np.maximum.reduceat(sorted_ids, first)
-        flagged = done.copy()
-        flagged[order] |= np.repeat(several, np.diff(first, append=len(low)))
-        low, keys = low[flagged], keys[flagged]
+        many = np.diff(first, append=len(low))
+        flagged, often = done.copy(), np.zeros(len(low), bool)
+        flagged[order] |= np.repeat(several, many)
+        often[order] = np.repeat(many > most_rows, many)
+        low, keys, often = low[flagged], keys[flagged], often[flagged]
         order = np.lexsort((low, keys))
-        low, keys = low[order], keys[order]
+        low, keys, often = low[order], keys[order], often[order]
         new = np.concatenate((np.ones(min(1, len(low)), bool), (low[1:] != low[:-1]) | (keys[1:] != keys[:-1])))
-        low, keys = low[new], keys[new]
+        low, keys, often = low[new], keys[new], often[new]
         at = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
-        parts = [low[x:y].tobytes() for x, y in zip(at, np.append(at[1:], len(keys)), strict=True)]
-        return pa.table({"row": pa.array(np.ascontiguousarray(keys[at]), pa.int64()), "hashes": pa.array(parts, pa.binary())})
+        parts = [(low[x:y].tobytes(), low[x:y][often[x:y]].tobytes()) for x, y in zip(at, np.append(at[1:], len(keys)), strict=True)]
+        columns = [pa.array([p[i] for p in parts], pa.binary()) for i in (0, 1)]
+        return pa.table([pa.array(np.ascontiguousarray(keys[at]), pa.int64()), *columns], ["row", "hashes", "often"])
 
-    found = rows.select("row", "doc_id", "text").mapInArrow(gather, _FLAGS).groupBy("bucket").applyInArrow(settle, "row long, hashes binary")
-    return found.groupBy("row").agg(F.collect_list("hashes").alias("hashes"))
+    found = rows.select("row", "doc_id", "text").mapInArrow(gather, _FLAGS).groupBy("bucket").applyInArrow(settle, "row long, hashes binary, often binary")
+    return found.groupBy("row").agg(F.collect_list("hashes").alias("hashes"), F.collect_list("often").alias("often"))
 
 
-def contexts(rows: DataFrame, shared: DataFrame, params: SubstringParams) -> DataFrame:
-    """shard_key, context, row, doc_id, start: the contexts of shared anchors."""
-    length, gram = params.length, params.gram
+def span_hashes(body: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each span of ``body``."""
+    size = np.diff(offs)
+    place = np.arange(len(body)) - np.repeat(offs[:-1], size)
+    out = []
+    for base, turn in ((_BASE, 0), (np.uint64(0xD6E8FEB86659FD93), 101)):
+        powers = np.multiply.accumulate(np.full(int(size.max()) if len(size) else 1, base, np.uint64))
+        value = np.roll(_BYTE_VALUE, turn)[body] * powers[place]
+        out.append(mix(np.add.reduceat(value, offs[:-1]) + size.astype(np.uint64)) if len(size) else np.zeros(0, np.uint64))
+    return out[0], out[1]
+
+
+def gather_spans(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans end to end, and their borders."""
+    offs = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+    return data[np.repeat(start - offs[:-1], size) + np.arange(offs[-1])], offs
+
+
+#: Rows of ``contexts`` with these in ``shard`` are a document's use of a context, and a context of a frequent anchor.
+USE, FREQUENT = -1, -2
+_CONTEXTS = "shard int, c1 long, c2 long, row long, doc_id long, start long, body binary, sizes binary, ids binary, several binary"
+
+
+def packed_texts(rows: DataFrame) -> DataFrame:
+    """row, doc_id, packed: texts compressed for the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3, write_content_size=True)
         for batch in batches:
-            flags = batch.column(3)
-            for a, b, data, offs in chunks(batch):
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                texts = [pack.compress((t or "").encode()) for t in part.column(2).to_pylist()]
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.binary())], ["row", "doc_id", "packed"])
+
+    return rows.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, packed binary")
+
+
+def contexts(rows: DataFrame, shared: DataFrame, shards: int, params: SubstringParams) -> DataFrame:
+    """The contexts of shared anchors: packed by batch and shard, and one row for each use of one."""
+    length, gram, most = params.length, params.gram, params.context_bytes
+    names = [f.split()[0] for f in _CONTEXTS.split(", ")]
+    kinds = [pa.int32(), *[pa.int64()] * 5, *[pa.binary()] * 4]
+
+    def records(n: int, **columns: object) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def leave() -> Iterator[pa.RecordBatch]:
+            body = np.concatenate([x[0] for x in held])
+            width, c1, c2, shard, ids = (np.concatenate([x[i] for x in held]) for i in range(1, 6))
+            held.clear()
+            offs = np.concatenate(([0], np.cumsum(width, dtype=np.int64)))
+            order = np.lexsort((ids, c2, c1, shard))
+            new = np.concatenate(([True], (c1[order][1:] != c1[order][:-1]) | (c2[order][1:] != c2[order][:-1]) | (shard[order][1:] != shard[order][:-1])))
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(order)) - 1
+            one, several = order[first], (ids[order[first]] != ids[order[last]]).astype(np.uint8)
+            border = np.flatnonzero(np.concatenate(([True], shard[one][1:] != shard[one][:-1])))
+            rows = {c: [] for c in ("shard", "body", "sizes", "ids", "several")}
+            for x, y in zip(border, np.append(border[1:], len(one)), strict=True):
+                mine = one[x:y]
+                own, at = gather_spans(body, offs[mine], width[mine])
+                if shard[mine[0]] == FREQUENT:
+                    text = own.tobytes()
+                    parts = [text[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                    yield records(len(mine), shard=[FREQUENT] * len(mine), c1=c1[mine].view(np.int64), c2=c2[mine].view(np.int64), doc_id=ids[mine], body=parts)
+                    continue
+                rows["shard"].append(int(shard[mine[0]]))
+                rows["body"].append(pack.compress(own.tobytes()))
+                rows["sizes"].append(width[mine].astype(np.int32).tobytes())
+                rows["ids"].append(ids[mine].tobytes())
+                rows["several"].append(several[x:y].tobytes())
+            yield records(len(rows["shard"]), **rows)
+
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                texts = [unpack.decompress(z) for z in part.column(2).to_pylist()]
+                offs = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
+                data = np.frombuffer(b"".join(texts), np.uint8)
                 h, first, past, doc = anchors(data, offs, length, gram)
-                low, border = _low(h), np.searchsorted(doc, np.arange(b - a + 1))
-                keep = np.zeros(len(h), bool)
-                for i in range(b - a):
-                    wanted = np.frombuffer(b"".join(flags[a + i].as_py()), np.uint32)
-                    keep[border[i] : border[i + 1]] = np.isin(low[border[i] : border[i + 1]], wanted)
-                h, first, past, doc = h[keep], first[keep], past[keep], doc[keep]
-                text = data.tobytes()
-                body = pa.array([text[x : y + length - 1] for x, y in zip(first.tolist(), past.tolist(), strict=True)], pa.binary())
-                own = pa.array(doc)
-                yield pa.record_batch(
-                    [pa.array(h.view(np.int64)), body, batch.column(0).slice(a, b - a).take(own), batch.column(1).slice(a, b - a).take(own), pa.array(first - offs[doc])],
-                    ["anchor", "context", "row", "doc_id", "start"],
-                )
-
-    joined = rows.join(shared, "row").select("row", "doc_id", "text", "hashes")
-    return joined.mapInArrow(run, "anchor long, context binary, row long, doc_id long, start long")
+                low, border = _low(h), np.searchsorted(doc, np.arange(len(texts) + 1))
+                keep, often = np.zeros(len(h), bool), np.zeros(len(h), bool)
+                for i, (some, much) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
+                    own = slice(border[i], border[i + 1])
+                    keep[own] = np.isin(low[own], np.frombuffer(b"".join(some), np.uint32))
+                    often[own] = np.isin(low[own], np.frombuffer(b"".join(much), np.uint32))
+                h, first, past, doc, often = h[keep], first[keep], past[keep], doc[keep], often[keep]
+                if not len(h):
+                    continue
+                width = past - first + length - 1
+                body, at = gather_spans(data, first, width)
+                c1, c2 = span_hashes(body, at)
+                row, ids = (part.column(i).to_numpy()[doc] for i in (0, 1))
+                yield records(len(h), shard=[USE] * len(h), c1=c1.view(np.int64), c2=c2.view(np.int64), row=row, doc_id=ids, start=first - offs[doc])
+                shard = np.where(often, FREQUENT, (mix(h) % np.uint64(shards)).astype(np.int64))
+                held.append((body, width, c1, c2, shard, ids))
+                size += len(body)
+                if size > most:
+                    yield from leave()
+                    size = 0
+        if held:
+            yield from leave()
+
+    joined = packed_texts(rows).join(shared, "row").select("row", "doc_id", "packed", "hashes", "often")
+    return joined.mapInArrow(run, _CONTEXTS)
 
 
 # ---- suffix arrays ---------------------------------------------------------------------------------
@@ -328,35 +422,54 @@ def merge_blocks(blocks: list[Block]) -> None:
                 other.least[at[same]] = both
 
 
-def least_ids(shard: DataFrame, params: SubstringParams) -> DataFrame:
-    """context, least (one id for each string of the context) from shard, context, doc_id."""
+_ANSWERS = "c1 long, c2 long, least array<bigint>"
+
+
+def least_ids(packed: DataFrame, params: SubstringParams) -> DataFrame:
+    """c1, c2, least (one id for each string of the context) of the contexts that any document must know of."""
     length, most = params.length, params.block_bytes
 
     def run(group: pa.Table) -> pa.Table:
-        column = group.column("context").combine_chunks()
-        data, offs = binary_column(column)
-        ids = group.column("doc_id").to_numpy()
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
+        body = np.frombuffer(b"".join(unpack.decompress(z) for z in group.column("body").to_pylist()), np.uint8)
+        width, ids, several = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("sizes", np.int32), ("ids", np.int64), ("several", np.uint8)))
+        offs = np.concatenate(([0], np.cumsum(width, dtype=np.int64)))
+        c1, c2 = span_hashes(body, offs)
+        order = np.lexsort((ids, c2, c1))
+        first = np.flatnonzero(np.concatenate(([True], (c1[order][1:] != c1[order][:-1]) | (c2[order][1:] != c2[order][:-1]))))
+        last = np.append(first[1:], len(order)) - 1
+        one = order[first]
+        needed = (np.add.reduceat(several[order], first) > 0) | (ids[one] != ids[order[last]])
+        ids, c1, c2, width = ids[one], c1[one], c2[one], width[one].astype(np.int64)
+        body, offs = gather_spans(body, offs[:-1][one], width)
         cuts, a = [], 0
         while a < len(ids):
             b = max(a + 1, int(np.searchsorted(offs, offs[a] + most, "right")) - 1)
             cuts.append((a, b))
             a = b
-        blocks = [sort_block(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], ids[a:b], length) for a, b in cuts]
+        blocks = [sort_block(body[offs[a] : offs[b]], offs[a : b + 1] - offs[a], ids[a:b], length) for a, b in cuts]
         merge_blocks(blocks)
         least = np.concatenate([block.least[block.of_start[block.of_start >= 0]] for block in blocks])
-        strings = np.diff(offs) - length + 1
-        border = np.concatenate(([0], np.cumsum(strings))).astype(np.int32)
-        return pa.table({"context": column, "least": pa.ListArray.from_arrays(pa.array(border), pa.array(least))})
+        strings = width - length + 1
+        border = np.concatenate(([0], np.cumsum(strings)))
+        needed |= np.minimum.reduceat(least, border[:-1]) < ids
+        kept = least[np.repeat(needed, strings)]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(strings[needed]))).astype(np.int32)), pa.array(kept))
+        return pa.table([pa.array(c1[needed].view(np.int64)), pa.array(c2[needed].view(np.int64)), lists], ["c1", "c2", "least"])
 
-    return shard.groupBy("shard").applyInArrow(run, "context binary, least array<bigint>")
+    return packed.select("shard", "body", "sizes", "ids", "several").groupBy("shard").applyInArrow(run, _ANSWERS)
 
 
-def least_ids_of_frequent(unique: DataFrame, params: SubstringParams) -> DataFrame:
-    """The same for anchors with so many contexts that no one task should hold them: string by string."""
-    size = F.octet_length("context") - params.length + 1
-    strings = unique.select("context", "doc_id", F.explode(F.sequence(F.lit(1), size)).alias("at")).withColumn("string", F.substring("context", F.col("at"), F.lit(params.length)))
+def least_ids_of_frequent(single: DataFrame, params: SubstringParams) -> DataFrame:
+    """The same for anchors that very many documents have: every string is a key of a plain aggregation."""
+    size = F.octet_length("body") - params.length + 1
+    unique = single.groupBy("c1", "c2", "body").agg(F.min("doc_id").alias("doc_id"))
+    strings = unique.select("c1", "c2", "body", "doc_id", F.explode(F.sequence(F.lit(1), size)).alias("at")).withColumn("string", F.substring("body", F.col("at"), F.lit(params.length)))
     least = strings.groupBy("string").agg(F.min("doc_id").alias("m"))
-    return strings.select("context", "at", "string").join(least, "string").groupBy("context").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "m"))), lambda x: x["m"]).alias("least"))
+    listed = strings.select("c1", "c2", "at", "string").join(least, "string").groupBy("c1", "c2").agg(F.sort_array(F.collect_list(F.struct("at", "m"))).alias("l"))
+    return listed.select("c1", "c2", F.transform("l", lambda x: x["m"]).alias("least"))
 
 
 # ---- the operator ----------------------------------------------------------------------------------
@@ -417,14 +530,9 @@ def repeated_spans(docs: DataFrame, params: SubstringParams = SubstringParams())
     buckets = max(12, math.ceil(total / params.bucket_bytes))
     shards = max(12, math.ceil(total / params.shard_bytes))
     shared = written(shared_anchors(reps, buckets, params))
-    found = contexts(reps, shared, params)
-    least = F.min("doc_id").alias("doc_id")
-    unique = found.groupBy("anchor", "context").agg(F.min("doc_id").alias("doc_id"))
-    frequent = unique.groupBy("anchor").count().where(F.col("count") > params.anchor_contexts).select("anchor")
-    shard = unique.join(frequent, "anchor", "left_anti").select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), "context", "doc_id")
-    answers = least_ids(shard, params).unionByName(least_ids_of_frequent(unique.join(frequent, "anchor", "left_semi"), params))
-    by_content = lambda df, *more: df.select(F.xxhash64("context").alias("c1"), F.xxhash64(F.lit(5), "context").alias("c2"), *more)
-    parts = by_content(found, "row", "doc_id", "start").join(by_content(answers, "least"), ["c1", "c2"])
+    found = written(contexts(reps, shared, shards, params))
+    answers = least_ids(found.where("shard >= 0"), params).unionByName(least_ids_of_frequent(found.where(F.col("shard") == FREQUENT).select("c1", "c2", "body", "doc_id"), params))
+    parts = found.where(F.col("shard") == USE).select("c1", "c2", "row", "doc_id", "start").join(answers, ["c1", "c2"])
     return _covered(parts, params.length).unionByName(copies)
 
 
