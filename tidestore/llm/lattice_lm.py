@@ -133,8 +133,10 @@ class Lattice:
             x = value[out_of[a:b]] + log_p[a:b]
             first = np.flatnonzero(np.concatenate(([True], into[a + 1 : b] != into[a : b - 1])))
             most = np.maximum.reduceat(x, first)
+            most = np.where(np.isneginf(most), 0.0, most)  # nodes that nothing reaches stay at -inf
             spread = np.repeat(most, np.diff(first, append=b - a))
-            value[into[a:b][first]] = most + np.log(np.add.reduceat(np.exp(x - spread), first))
+            with np.errstate(divide="ignore"):
+                value[into[a:b][first]] = most + np.log(np.add.reduceat(np.exp(x - spread), first))
         return value
 
     def forward(self, data: np.ndarray, offs: np.ndarray, log_p: np.ndarray) -> np.ndarray:
