@@ -480,17 +480,17 @@ def _covered(parts: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, doc_id, start, least = (batch.column(i).to_pylist() for i in range(4))
-            rows, firsts, lasts = [], [], []
-            for r, d, s, blob in zip(row, doc_id, start, least, strict=True):
-                hit = np.flatnonzero(np.array(blob, np.int64) < d)
-                if len(hit):
-                    split = np.flatnonzero(np.diff(hit) > length) + 1
-                    for x, y in zip(np.append(0, split), np.append(split, len(hit)), strict=True):
-                        rows.append(r)
-                        firsts.append(s + int(hit[x]))
-                        lasts.append(s + int(hit[y - 1]) + length)
-            yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(firsts, pa.int64()), pa.array(lasts, pa.int64())], ["row", "first", "past"])
+            row, doc_id, start = (batch.column(i).to_numpy() for i in range(3))
+            lists = batch.column(3)
+            size = np.diff(lists.offsets.to_numpy())
+            owner = np.repeat(np.arange(len(size)), size)
+            at = start[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+            hit = np.flatnonzero(lists.flatten().to_numpy() < doc_id[owner])
+            own, at = owner[hit], at[hit]
+            new = np.concatenate((np.ones(min(1, len(own)), bool), (own[1:] != own[:-1]) | (np.diff(at) > length)))
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(own))[: len(first)] - 1
+            yield pa.record_batch([pa.array(row[own[first]]), pa.array(at[first]), pa.array(at[last] + length)], ["row", "first", "past"])
 
     runs = parts.select("row", "doc_id", "start", "least").mapInArrow(run, "row long, first long, past long")
     listed = runs.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "past"))).alias("runs"))
