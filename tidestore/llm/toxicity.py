@@ -86,8 +86,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", param
     if len(set(y.tolist())) < 2:
         return ToxicityModel(np.zeros(0, np.int32), np.zeros(0, np.float32), 40.0 if len(y) and y[0] else -40.0)
     each = np.array([len(y) / (2 * (y == c).sum()) for c in (0, 1)])
-    common = np.bincount(np.concatenate(rows), minlength=1 << params.bits) >= params.min_docs
-    w, bias = ftrl_proximal(y, [x[common[x]] for x in rows], each[y], params)
+    count = np.zeros(1 << params.bits, np.int32)
+    for x in rows:
+        count[x] += 1
+    for i, x in enumerate(rows):
+        rows[i] = x[count[x] >= params.min_docs]
+    w, bias = ftrl_proximal(y, rows, each[y], params)
     kept = np.flatnonzero(w)
     return ToxicityModel(kept.astype(np.int32), w[kept].astype(np.float32), bias)
 
