@@ -38,7 +38,7 @@ from tidestore.llm._frames import written
 class ForestParams:
     k: int = 5
     trees: int = 48
-    candidates: int = 40_000  # matches of all trees together (a vector counts once a tree) at which the ascent ends
+    candidates: int = 4_000  # matches of all trees together (a vector counts once a tree) at which the ascent ends
     block_rows: int = 8192
     query_rows: int = 4096
     seed: int = 11
