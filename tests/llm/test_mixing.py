@@ -1,4 +1,6 @@
+import math
 from collections import Counter, defaultdict
+from hashlib import md5
 
 import pytest
 from hypothesis import given, settings
@@ -80,3 +82,34 @@ def test_nothing_to_mix(make_docs):
     assert mixing.mix_documents(docs.limit(0)).count() == 0
     got = mixing.mix_report(docs.withColumn("text", F.lit(None).cast("string")))
     assert {(r["target"], r["taken"]) for r in got.collect()} == {(0.0, 0)}
+
+
+def test_order_of_the_mix_equals_brute_force(make_docs):
+    sizes = {"long": [900, 1, 2, 40, 3, 700, 5, 0, 9], "one": [60], "even": [7] * 60, "two": [1, 300]}
+    data = [(100 * k + i, words(n, 100 * k + i), s) for k, (s, own) in enumerate(sizes.items()) for i, n in enumerate(own)]
+    data += [(None, words(n, 900 + n), "even") for n in (3, 50, 120)] + [(205, words(33, 1), "even")]
+    slopes, want = (0.5, 0.0, -0.5), []
+    names = sorted(sizes)
+    of = {s: [d for d in data if d[2] == s] for s in names}
+    total = {s: sum(len(d[1].split()) for d in of[s]) for s in names}
+    targets = mixing.water_fill([total[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5, 2)
+    for k, (s, target) in enumerate(zip(names, targets, strict=True)):
+        slope, place, mine = slopes[k % 3], 0, []
+        for again in (0, 1):
+            for d in sorted(of[s], key=lambda d: (md5(str("" if d[0] is None else d[0]).encode()).hexdigest(), len(d[1].split()))):
+                n = len(d[1].split())
+                left = min(n, int(target + 0.5) - place)
+                if left > 0 and 2 * left >= n:
+                    y = min(1, place / target)
+                    at = y if slope == 0 else (math.sqrt((1 - slope) ** 2 + 4 * slope * y) - (1 - slope)) / (2 * slope)
+                    mine.append((at, d[0], d[1]))
+                place += n
+        want += mine
+    want.sort(key=lambda x: x[0])
+    got = [(r["doc_id"], r["text"]) for r in mixing.mix_documents(make_docs(data)).collect() if r["text"]]
+    assert Counter(got) == Counter(x[1:] for x in want)
+    left = defaultdict(list)
+    for t, *row in want:
+        left[tuple(row)].append(t)
+    places = [left[row].pop(0) for row in got]
+    assert all(a <= b + 1e-9 for a, b in zip(places, places[1:], strict=False))

@@ -60,11 +60,15 @@ def _sized(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        _size().alias("size"),
         _order_key("doc_id").alias("key"),
     )
 
 
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def _order_key(col: str) -> Column:
     return F.md5(F.coalesce(F.col(col).cast("string"), F.lit("")))
 
@@ -89,9 +93,9 @@ def _position(place: Column, target: Column, slope: Column) -> Column:
 
 
 def mix_plan(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
-    """doc_id, key, source, size, source_size, target, first_take, second_take, taken, position of every row.
+    """doc_id, key, source, size, source_size, target, place, first_take, second_take, taken, position of every row.
 
-    ``first_take`` and ``second_take`` are the words taken in the first and in all later passes; position
+    ``place`` is the words of the source before the row. ``first_take`` and ``second_take`` are the words taken in the first and in all later passes; position
     is that of the first take, null if nothing is taken. ``most`` may be 2 at most.
     """
     if params.most > 2:
@@ -113,29 +117,80 @@ def mix_plan(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
         .withColumn("second_take", part(F.col("source_size") + F.col("place")))
         .withColumn("taken", F.col("first_take") + F.col("second_take"))
         .withColumn("position", F.when(F.col("taken") > 0, _position(F.col("place"), F.col("target"), F.col("slope"))))
-        .select("doc_id", "key", "source", "source_no", "size", "source_size", "target", "slope", "first_take", "second_take", "taken", "position")
+        .select("doc_id", "key", "source", "source_no", "size", "source_size", "target", "slope", "place", "first_take", "second_take", "taken", "position")
     )
 
 
+def _rank(ascending: Column, x: Column, most: int, field: str | None = None) -> Column:
+    """How many of ``ascending`` (``most`` elements at most) are not above ``x``, by bisection."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, most.bit_length())))])
+    at = lambda i: F.get(ascending, i)[field] if field else F.get(ascending, i)
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(at(n + step - 1) <= x, n + step).otherwise(n))
+
+
+def _routes(plan: DataFrame) -> tuple[DataFrame, int]:
+    """Where takes go, one row a source: source, source_no, source_size, target, slope, and by pass its cut and starts.
+
+    Training time is cut into parts of about as many takes each. A pass's keys below its cut fall into
+    runs, one a part: starts has the first key, the part and the words before it, of every run. Also
+    returns how many starts a pass has at most.
+    """
+    of = ["source", "source_no", "source_size", "target", "slope"]
+    half = lambda take: F.max((F.col(take) * 2 >= F.col("size")) & (F.col(take) > 0))
+    ids = written(plan.groupBy(*of, "key").agg(F.min("place").alias("place"), F.max("place").alias("last"), F.array(half("first_take"), half("second_take")).alias("halves")))
+    takes = ids.select(*of, "key", "place", "last", F.posexplode("halves").alias("take", "wanted"))
+    cuts = takes.where("wanted").groupBy(F.col("source_no").alias("_no"), F.col("take").alias("_take")).agg(F.max("key").alias("cut"))
+    takes = takes.join(F.broadcast(cuts), (F.col("source_no") == F.col("_no")) & (F.col("take") == F.col("_take")) & (F.col("key") <= F.col("cut"))).drop("_no", "_take")
+    time = lambda place: _position(F.col(place) + F.col("take") * F.col("source_size"), F.col("target"), F.col("slope"))
+    takes = written(takes.withColumn("position", time("place")).withColumn("until", time("last")))
+    parts = min(4096, 4 * int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = takes.agg(F.percentile_approx("position", [i / parts for i in range(1, parts)], F.lit(20 * parts))).first()[0]
+    bounds = sorted(set(found or []))
+    part = lambda col: _rank(F.array(*map(F.lit, bounds)), F.col(col), len(bounds)) if bounds else F.lit(0)
+    # rows that share an id stay in one part: no bound lies between their positions
+    crossed = takes.where("place < last").select(part("position").alias("a"), part("until").alias("b")).where("a < b")
+    inside = {r["i"] for r in crossed.select(F.explode(F.sequence("a", F.col("b") - 1)).alias("i")).distinct().collect()}
+    bounds = [x for i, x in enumerate(bounds) if i not in inside]
+    runs = takes.withColumn("part", part("position")).groupBy(*of, "take", "cut", "part").agg(F.min("key").alias("key"), F.min("place").alias("ahead"))
+    passes = lambda i, value: F.when(F.col("take") == i, value)
+    starts = [F.sort_array(F.collect_list(passes(i, F.struct("key", "part", "ahead")))).alias(f"starts{i}") for i in (0, 1)]
+    return runs.groupBy(*of).agg(*[F.max(passes(i, F.col("cut"))).alias(f"cut{i}") for i in (0, 1)], *starts), len(bounds) + 1
+
+
 def mix_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """The mix itself: whole documents, once a take, with the columns of ``docs``, in order of position.
 
-    The take at a pass's end, which the target cuts, counts if at least half of it is wanted. Texts are
-    shuffled once, for the range sort: which takes there are follows from one cut a source and pass.
+    The take at a pass's end, which the target cuts, counts if at least half of it is wanted; documents
+    without words go with their neighbours. Texts are shuffled once, to parts of training time: the part
+    of a take follows from its key by a small table (see ``_routes``) that also has the words ahead of
+    the part, and running sums inside the part give every take its place and so its position.
     """
-    plan = written(mix_plan(docs, params).select("source", "source_no", "key", "size", "source_size", "target", "slope", "first_take", "second_take"))
-    whole = lambda take: F.max(F.when(F.col(take) * 2 >= F.col("size"), F.when(F.col(take) > 0, F.col("key"))))
-    cuts = plan.groupBy("source", "source_no", "source_size", "target", "slope").agg(whole("first_take").alias("_cut1"), whole("second_take").alias("_cut2"))
+    plan = written(mix_plan(docs, params).select("source", "source_no", "key", "size", "source_size", "target", "slope", "place", "first_take", "second_take"))
+    routes, most = _routes(plan)
     own, names = own_names(docs), docs.columns
-    source, key, cut1, cut2, of, take, position = (own + x for x in ("source", "key", "cut1", "cut2", "of", "take", "position"))
-    cuts = cuts.select(F.col("source").alias(source), F.col("_cut1").alias(cut1), F.col("_cut2").alias(cut2), F.struct("source_size", "target", "slope").alias(of))
-    keyed = docs.withColumn(key, _order_key("doc_id")).join(F.broadcast(cuts), F.col("source").cast("string").eqNullSafe(F.col(source)))
-    in_pass = lambda cut: F.coalesce((F.col(key) <= F.col(cut)).cast("int"), F.lit(0))
-    repeated = keyed.withColumn(take, F.explode(F.expr("sequence(0, 1)"))).where(F.col(take) < in_pass(cut1) + in_pass(cut2))
-    share = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / float(1 << 32)
-    place = (share + F.col(take)) * F.col(of)["source_size"]
-    placed = repeated.withColumn(position, _position(place, F.col(of)["target"], F.col(of)["slope"]))
-    return placed.repartitionByRange(position, key).sortWithinPartitions(position, key).select(*(F.col(f"`{c}`") for c in names))
+    source, key, of, size, id_, hit, place = (own + x for x in ("source", "key", "of", "size", "id", "hit", "place"))
+    routes = written(routes).select(F.col("source").alias(source), F.struct("source_no", "source_size", "target", "slope", "cut0", "cut1", "starts0", "starts1").alias(of))
+    sized = docs.withColumn(key, _order_key("doc_id")).withColumn(id_, F.col("doc_id").cast("long")).withColumn(size, _size())
+    routed = sized.join(F.broadcast(routes), F.col("source").cast("string").eqNullSafe(F.col(source)))
+
+    def take(i: int) -> Column:
+        starts = F.col(of)[f"starts{i}"]
+        start = F.get(starts, _rank(starts, F.col(key), most, "key") - 1)
+        fields = [F.col(of)[c].alias(c) for c in ("source_no", "source_size", "target", "slope")]
+        return F.when(F.col(key) <= F.col(of)[f"cut{i}"], F.struct(start["part"].alias("part"), start["ahead"].alias("ahead"), F.lit(i).alias("take"), *fields))
+
+    takes = routed.select(*(F.col(f"`{c}`") for c in names), key, id_, size, F.explode(F.array_compact(F.array(take(0), take(1)))).alias(hit))
+    of_hit = lambda c: F.col(hit)[c]
+    part, no, pass_ = (own + x for x in ("part", "no", "pass"))
+    takes = takes.withColumn(part, of_hit("part")).withColumn(no, of_hit("source_no")).withColumn(pass_, of_hit("take"))
+    before = Window.partitionBy(part, no, pass_).orderBy(key, id_, size).rowsBetween(Window.unboundedPreceding, -1)
+    along = of_hit("take") * of_hit("source_size") + of_hit("ahead") + F.coalesce(F.sum(size).over(before), F.lit(0))
+    placed = takes.repartitionByRange(F.col(part)).withColumn(place, along)
+    left = F.least(F.col(size), F.floor(of_hit("target") + 0.5).cast("long") - F.col(place))
+    kept = placed.where((F.col(size) == 0) | ((left > 0) & (left * 2 >= F.col(size))))
+    position = own + "position"
+    kept = kept.withColumn(position, _position(F.col(place), of_hit("target"), of_hit("slope")))
+    return kept.sortWithinPartitions(part, position, key, pass_).select(*(F.col(f"`{c}`") for c in names))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
