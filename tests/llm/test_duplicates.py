@@ -129,6 +129,14 @@ def test_lines_equal_brute_force(make_docs):
     assert line_dedup.line_dedup_report(make_docs(rows).limit(0)).count() == 0
 
 
+def test_rows_of_one_id_keep_their_own_lines(make_docs):
+    one, two, near = words(8, 1), words(8, 2), words(8, 1)[:-1]
+    rows = [(1, one), (5, f"{one}\nalpha {two}"), (5, f"beta {two}\n{near}"), (5, f"gamma {two}\nalpha {two}"), (7, f"new\nbeta {two}")]
+    got = sorted((r["doc_id"], r["text"], r["removed"]) for r in line_dedup.dedup_lines(make_docs(rows), removed="removed").collect())
+    want = [(1, one, []), (5, f"alpha {two}", [0]), (5, f"beta {two}", [1]), (5, f"gamma {two}\nalpha {two}", []), (7, "new", [1])]
+    assert got == sorted(want)
+
+
 def test_line_dedup_has_no_python_in_its_plan(make_docs):
     plan = line_dedup.line_dedup_report(make_docs([(1, "a\nb"), (2, "a")]))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))

@@ -21,7 +21,8 @@ join shuffles.
 
 Edge cases: null texts stay null and empty ones empty; a document whose lines all go keeps its row with
 an empty text. Rows without an id keep their lines and remove none. Rows that share an id are at the same
-place: their lines count as earlier than those of larger ids only, and within the id by line number.
+place: their lines count as earlier than those of larger ids only, and within the id by line number; what
+goes is known by id and text, so a row loses none of its lines for another row's with that id.
 Columns other than doc_id and text pass unchanged, whatever their names.
 """
 
@@ -44,10 +45,10 @@ class LineDedupParams:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line, h1, h2 of the lines that are compared."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    trimmed = lines.select("doc_id", "line_no", F.btrim("raw", F.lit(BLANK)).alias("line")).where("line != ''")
+    """doc_id, of, line_no, line, h1, h2 of the lines that are compared; ``of`` is the hash of the row's text."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("of")).where("doc_id is not null and text is not null")
+    lines = texts.select("doc_id", "of", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    trimmed = lines.select("doc_id", "of", "line_no", F.btrim("raw", F.lit(BLANK)).alias("line")).where("line != ''")
     return trimmed.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(41), "line").alias("h2"))
 
 
@@ -68,13 +69,14 @@ def _small(df: DataFrame, bytes_: Column, limit: int) -> DataFrame:
 
 
 def near_lines(lines: DataFrame, params: LineDedupParams = LineDedupParams()) -> DataFrame:
-    """(doc_id, line_no): first places of the distinct lines that are one edit from an earlier line."""
+    """(doc_id, line_no, h1): first places and hashes of the distinct lines that are one edit from an earlier line."""
     long_lines = lines.where(F.length("line") >= params.min_chars)
     halves = written(long_lines.select("h1", F.explode(_halves()).alias("half")))
     shared = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo != hi").select("half")
     mates = written(halves.join(shared, "half", "left_semi").select("h1").distinct())
     mates = _small(mates, F.lit(8), params.broadcast_bytes)
-    place = F.struct("doc_id", "line_no")
+    place = F.struct("doc_id", "line_no", "h1")  # two rows of one id can have two lines at one place
+    before = lambda a, b: F.struct(a["doc_id"], a["line_no"]) < F.struct(b["doc_id"], b["line_no"])
     classes = long_lines.join(mates, "h1", "left_semi").groupBy("h1", "h2").agg(F.min(place).alias("place"), F.min("line").alias("line"))
     classes = written(classes.select("place", "line"))
 
@@ -87,36 +89,40 @@ def near_lines(lines: DataFrame, params: LineDedupParams = LineDedupParams()) ->
     of_place = Window.partitionBy("key", "at").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     known = rows.withColumn("whole", F.first(F.when(F.col("at") < 0, F.col("place"))).over(of_key)).withColumn("first", F.first("place").over(of_place))
     deleted = known.where("at >= 0")
+    own, first, whole = F.col("place"), F.col("first"), F.col("whole")
+    apart = before(own, whole) | before(whole, own)
     links = F.array(
-        F.when(F.col("first") < F.col("place"), F.struct("place", F.col("first").alias("earlier"))),
-        F.when(F.col("whole").isNotNull(), F.struct(F.greatest("place", "whole").alias("place"), F.least("place", "whole").alias("earlier"))),
+        F.when(before(first, own), F.struct("place", first.alias("earlier"))),
+        F.when(apart, F.struct(F.greatest("place", "whole").alias("place"), F.least("place", "whole").alias("earlier"))),
     )
-    links = deleted.where("first < place or whole is not null").select(F.explode(F.array_compact(links)).alias("l")).select("l.*").distinct()
+    links = deleted.where(before(first, own) | apart).select(F.explode(F.array_compact(links)).alias("l")).select("l.*").distinct()
 
     text = classes.select(F.col("place").alias("_place"), F.col("line"))
     both = links.join(text.withColumnRenamed("line", "a"), F.col("place") == F.col("_place")).drop("_place")
     both = both.join(text.withColumnRenamed("line", "b"), F.col("earlier") == F.col("_place"))
     verified = both.where(F.levenshtein("a", "b", 1) == 1)
-    return verified.select("place.doc_id", "place.line_no").distinct()
+    return verified.select("place.doc_id", "place.line_no", "place.h1").distinct()
 
 
 def removed_lines(docs: DataFrame, params: LineDedupParams = LineDedupParams()) -> DataFrame:
-    """doc_id, removed: the numbers (from 0) of the lines that go, for documents that lose any."""
+    """doc_id, of, removed: the numbers (from 0) of the lines that go, for rows (by id and hash of the text) that lose any."""
     lines = _lines(docs)
-    places = written(lines.select("doc_id", "line_no", "h1", "h2"))
+    places = written(lines.select("doc_id", "of", "line_no", "h1", "h2"))
     first = places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    repeated = places.join(first, ["h1", "h2"]).where(F.struct("doc_id", "line_no") > F.col("first")).select("doc_id", "line_no")
-    gone = repeated.unionByName(near_lines(lines, params)).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    repeated = places.join(first, ["h1", "h2"]).where(F.struct("doc_id", "line_no") > F.col("first")).select("doc_id", "of", "line_no")
+    near = _small(written(near_lines(lines, params)), F.lit(20), params.broadcast_bytes)
+    near = places.join(near, ["doc_id", "line_no", "h1"], "left_semi").select("doc_id", "of", "line_no")
+    gone = repeated.unionByName(near).groupBy("doc_id", "of").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
     return written(gone)
 
 
 def dedup_lines(docs: DataFrame, params: LineDedupParams = LineDedupParams(), removed: str | None = None) -> DataFrame:
     """``docs`` with the lines that stay; ``removed`` names a column for the numbers of those that went."""
     own = own_names(docs)
-    id_, numbers = own + "id", own + "removed"
-    gone = removed_lines(docs, params).select(F.col("doc_id").alias(id_), F.col("removed").alias(numbers))
-    gone = _small(gone, F.size(numbers) * 4 + 40, params.broadcast_bytes)
-    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col(id_), "left")
+    id_, of, numbers = own + "id", own + "of", own + "removed"
+    gone = removed_lines(docs, params).select(F.col("doc_id").alias(id_), F.col("of").alias(of), F.col("removed").alias(numbers))
+    gone = _small(gone, F.size(numbers) * 4 + 48, params.broadcast_bytes)
+    joined = docs.join(gone, (F.col("doc_id").cast("long") == F.col(id_)) & (F.xxhash64("text") == F.col(of)), "left")
     lines = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(numbers))
     kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
