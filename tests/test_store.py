@@ -168,3 +168,18 @@ def test_sharded_layout(spark, tmp_path):
     got = read_sharded_layout(spark, f"file://{tmp_path}", metrics(spark, "in", rid=rid)).orderBy("time").collect()
     assert [(r["resource_id"], r["p"], r["value"]) for r in got] == [(rid, "1970-01-01", 1.0), (rid, "1970-01-01", 2.0)]
     assert got[0]["time"] == datetime(1970, 1, 1, 0, 0, 1)
+
+
+def test_compaction_of_a_damaged_page_fails_and_keeps_its_input(spark, store):
+    for i in range(2):
+        store.store(samples(spark, 2000, rid=f"snmp/{i}"))
+        store.flush()
+    damaged = files(store)[0]
+    raw = bytearray(damaged.read_bytes())
+    raw[4:60] = bytes(255 - x for x in raw[4:60])
+    damaged.write_bytes(raw)
+    (damaged.parent / f".{damaged.name}.crc").unlink(missing_ok=True)
+    spark.read.parquet(f"file://{damaged}").schema  # noqa: B018  the footer is whole
+    with pytest.raises(Exception, match="(?i)parquet|page|read"):
+        store.compact()
+    assert len(files(store)) == 2 and damaged.read_bytes() == bytes(raw)

@@ -186,12 +186,15 @@ class SampleStore:
 
     # -- reading
 
-    def samples(self, paths: list[str] | None = None) -> DataFrame:
-        """All stored rows with their partition label ``p``."""
+    def samples(self, paths: list[str] | None = None, whole: bool = False) -> DataFrame:
+        """All stored rows with their partition label ``p``; what can't be read is left out, or an error if ``whole``."""
         self._need_open()
         if not paths and not any(e.name.startswith("p=") for e in self.files.list(self.data)):
             return self.spark.createDataFrame([], STORED_SAMPLES)
-        reader = self.spark.read.schema(STORED_SAMPLES).option("basePath", self.data).option("pathGlobFilter", "part-*.parquet").option("ignoreCorruptFiles", "true")
+        reader = self.spark.read.schema(STORED_SAMPLES).option("basePath", self.data).option("pathGlobFilter", "part-*.parquet")
+        reader = reader.option("ignoreCorruptFiles", str(not whole).lower())
+        if whole:
+            reader = reader.option("ignoreMissingFiles", "false")
         return reader.parquet(*(paths or [self.data]))
 
     def fetch(self, request: FetchRequest) -> DataFrame:
@@ -225,7 +228,8 @@ class SampleStore:
 
         All partitions are rewritten by one job. The result is staged, named in a journal, moved in and
         only then the inputs go; ``open`` finishes a compaction that broke off after its journal was
-        written. Empty files go; unreadable ones are skipped and stay.
+        written. Empty files go; those without a readable footer are skipped and stay. A read that fails
+        later fails the whole compaction, and its inputs stay as they are.
         """
         self._need_open()
         if min_files < 2:
@@ -262,7 +266,7 @@ class SampleStore:
     def _rewrite(self, inputs: dict[str, list[str]], dead: DataFrame | None) -> None:
         job = uuid.uuid4().hex
         staging, journal = f"{self.config.base_dir}/.compact-{job}", f"{self.config.base_dir}/compactions/{job}.json"
-        rows = self.samples([f for files in inputs.values() for f in files])
+        rows = self.samples([f for files in inputs.values() for f in files], whole=True)
         if dead is not None:
             rows = rows.join(dead, ["resource_id", "name"], "left_anti")
         slot = F.pmod(F.xxhash64("resource_id"), F.lit(self.files_per_partition))
