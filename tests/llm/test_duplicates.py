@@ -99,7 +99,7 @@ def distance(a, b):
 
 def test_lines_equal_brute_force(make_docs):
     rng = random.Random(5)
-    pool = [words(6, k) for k in range(25)] + ["short", "é" * 20, "aaaaaaaaaaaaaaaaaaaaaaa", ""]
+    pool = [words(6, k) for k in range(25)] + [words(40, 90 + k) for k in range(6)] + [words(n, 300 + n)[: n + 1] for n in range(1, 40, 3)] + ["short", "x", "é" * 20, "é" * 40, "aaaaaaaaaaaaaaaaaaaaaaa", "ab" * 40, ""]
 
     def line():
         s = rng.choice(pool)
@@ -116,7 +116,7 @@ def test_lines_equal_brute_force(make_docs):
         keep, own = [], []
         for s in lines:
             s_ = s.strip(line_dedup.BLANK)
-            gone = s_ and any(s_ == e or (min(len(s_), len(e)) >= 16 and abs(len(s_) - len(e)) < 2 and distance(s_, e) <= 1) for e in earlier)
+            gone = s_ and any(s_ == e or (abs(len(s_) - len(e)) < 2 and distance(s_, e) <= 1) for e in earlier)
             own.append(bool(gone))
             if s_:
                 earlier.append(s_)
@@ -137,6 +137,13 @@ def test_rows_of_one_id_keep_their_own_lines(make_docs):
     assert got == sorted(want)
 
 
+def test_very_long_lines(make_docs):
+    long = "ab" + "".join(random.Random(8).choices("abcdé ", k=100_000)) + "."
+    rows = [(1, long), (2, long[:60_000] + "Z" + long[60_000:]), (3, long[:99_000] + "X" + long[99_001:]), (4, "Q" + long[2:] + "Q"), (5, long[1:])]
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.dedup_lines(make_docs(rows), removed="removed").collect()}
+    assert got == {1: [], 2: [0], 3: [0], 4: [], 5: [0]}
+
+
 def test_line_dedup_has_no_python_in_its_plan(make_docs):
     plan = line_dedup.line_dedup_report(make_docs([(1, "a\nb"), (2, "a")]))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
