@@ -49,12 +49,16 @@ def partition_name(time: Column | str, partition_us: int) -> Column:
     return F.concat(F.lit("p="), partition_label(time, partition_us))
 
 
+def window_of(time: datetime, partition_us: int) -> datetime:
+    """Start of the window that holds an instant, on the driver."""
+    us = (time - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+    return datetime(1970, 1, 1) + timedelta(microseconds=us - us % check_partition(partition_us))
+
+
 def python_label(time: datetime, partition_us: int) -> str:
     """The label of one instant, on the driver."""
-    us = (time - datetime(1970, 1, 1)) // timedelta(microseconds=1)
-    start = datetime(1970, 1, 1) + timedelta(microseconds=us - us % check_partition(partition_us))
     shapes = {"yyyy-MM-dd": "%Y-%m-%d", "yyyy-MM-dd-HH": "%Y-%m-%d-%H", "yyyy-MM-dd-HH-mm": "%Y-%m-%d-%H-%M"}
-    return start.strftime(shapes[label_format(partition_us)])
+    return window_of(time, partition_us).strftime(shapes[label_format(partition_us)])
 
 
 def partition_start(name: Column | str) -> Column:
@@ -85,11 +89,11 @@ def encode_element(element: Column | str) -> Column:
 
 
 def shard_path(resource_id: Column | str) -> Column:
-    """Encoded elements of a resource id; an empty id is an error, a null one null."""
+    """Encoded elements of a resource id; an empty or null id is an error."""
     resource_id = _col(resource_id)
     kept = F.filter(F.split(resource_id, "/"), lambda e: e != "")
     path = F.array_join(F.transform(kept, encode_element), "/")
-    return F.when(resource_id == "", F.raise_error(F.lit("resource id is empty")).cast("string")).otherwise(path)
+    return F.when(resource_id.isNull() | (resource_id == ""), F.raise_error(F.lit("resource id is empty")).cast("string")).otherwise(path)
 
 
 def partition_path(resource_id: Column | str, time: Column | str, partition_us: int) -> Column:
@@ -144,6 +148,12 @@ def relative_depth(parent: Column | str, child: Column | str) -> Column:
     return F.when(F.slice(c, F.lit(1), F.size(p)) == p, F.size(c) - F.size(p)).otherwise(F.lit(-1))
 
 
+def file_path(elements: Column | str, separator: str = "/") -> Column:
+    """Elements as a relative path of a file system; where that parts names by backslashes, colons become underscores."""
+    e = _col(elements)
+    return F.array_join(F.transform(e, lambda x: F.replace(x, F.lit(":"), F.lit("_"))) if separator == "\\" else e, separator)
+
+
 def child_path(parent: Column | str, *names: Column | str) -> Column:
     return F.concat(_col(parent), F.array(*(_col(n) for n in names)))
 

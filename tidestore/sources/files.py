@@ -13,6 +13,7 @@ class Entry:
     name: str
     is_dir: bool
     size: int
+    modified: int  # milliseconds since 1970
 
 
 class Files:
@@ -36,7 +37,7 @@ class Files:
         if not self.exists(path):
             return []
         found = self._fs(path).listStatus(self._path(path))
-        return sorted((Entry(s.getPath().toString(), s.getPath().getName(), s.isDirectory(), s.getLen()) for s in found), key=lambda e: e.name)
+        return sorted((Entry(s.getPath().toString(), s.getPath().getName(), s.isDirectory(), s.getLen(), s.getModificationTime()) for s in found), key=lambda e: e.name)
 
     def make(self, path: str) -> None:
         if not self._fs(path).mkdirs(self._path(path)):
@@ -60,6 +61,18 @@ class Files:
             self.delete(path)
         self.move(hidden, path)
 
+    def claim(self, path: str, text: str) -> bool:
+        """Write a file that mustn't be there yet; whether it wasn't."""
+        try:
+            out = self._fs(path).create(self._path(path), False)
+        except Exception:
+            if self.exists(path):
+                return False
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
     def read_text(self, path: str) -> str:
         stream = self._fs(path).open(self._path(path))
         try:

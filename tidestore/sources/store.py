@@ -5,24 +5,34 @@ Layout under ``base_dir``::
     data/p=<label>/part-*.parquet     resource_id, name, time, value
     catalog/v=<n>/part-*.parquet      tag rows; the newest complete version counts
     tombstones/part-*.parquet         deleted series whose rows are still to be purged
-    compactions/<id>.json             what a compaction has staged and will replace
+    durations/<microseconds>          the partition durations that have been in use
+    journals/<id>.json                files that are staged and will be published, and what they replace
+    batches/<stream>/<n>              batches of streams that have been published
+    .stage-<id>, .buffer-<id>         staged files, and rows that a session still buffers
+    lease.json                        who maintains the store just now, and until when
 
 Rows of a partition lie sorted by series and time, so that row groups can be skipped. Readers take only
-``part-*.parquet`` and skip files that aren't readable.
+``part-*.parquet`` and skip files that aren't readable. Every write is staged, named in a journal and then
+moved in, so that what breaks off anywhere is either finished on the next ``open`` or leaves nothing behind.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import threading
+import time
 import uuid
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from datetime import datetime, timedelta, timezone
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidestore.functions.paths import catalog_root, data_root, partition_label, partition_start
+from tidestore.functions.paths import catalog_root, data_root, partition_label
 from tidestore.model import CATALOG_TAGS, METRICS, STORED_SAMPLES, FetchRequest, StorageError, StoreConfig, TagMatcher
 from tidestore.operators import catalog as cat
 from tidestore.operators import samples as ops
@@ -33,17 +43,35 @@ TOMBSTONES = "resource_id string, name string"
 SAMPLE_COLUMNS = ("resource_id", "name", "time", "value")
 
 
+LEASE_SECONDS = 120
+#: Rows that a broadcast side may have; beyond it Spark shuffles.
+SMALL_ROWS = 100_000
+
+
+class RewriteError(RuntimeError):
+    """Partitions couldn't be read or staged; nothing has been changed."""
+
+
 class SampleStore:
-    """Use as a context manager, or ``open`` and ``close``."""
+    """Use as a context manager, or ``open`` and ``close``. Its methods may be called from several threads."""
 
-    def __init__(self, spark: SparkSession, config: StoreConfig, files_per_partition: int = 1, now=None) -> None:
-        self.spark, self.config, self.files_per_partition = spark, config, files_per_partition
+    def __init__(self, spark: SparkSession, config: StoreConfig, now=None) -> None:
+        self.spark, self.config = spark, config
         self.files = Files(spark)
         self.counters: Counter = Counter()
         self.compaction_seconds: list[float] = []
         self._now = now or (lambda: datetime.now(timezone.utc).replace(tzinfo=None))
         self._open = False
+        self._session = uuid.uuid4().hex
+        self._lock = threading.RLock()
+        self._durations: list[int] = []
+        self._clear()
+
+    def _clear(self) -> None:
         self._buffer: list[DataFrame] = []
+        self._counts: DataFrame | None = None
+        self._since: datetime | None = None
+        self._held = 0
 
     # -- life cycle
 
@@ -56,9 +84,53 @@ class SampleStore:
         except Exception as e:
             raise StorageError(f"base_dir {self.config.base_dir!r} can't be used: {e}") from e
         self._open = True
-        self._recover()
+        self._know_duration()
+        with self._lease() as mine:
+            if mine:
+                self._recover()
         return self
 
+    def _know_duration(self) -> None:
+        """Partitions may have been written with other durations than the present one; readers must know them all."""
+        folder = f"{self.config.base_dir}/durations"
+        self.files.make(folder)
+        if not self.files.exists(f"{folder}/{self.config.partition_us}"):
+            self.files.claim(f"{folder}/{self.config.partition_us}", "")
+        self._durations = sorted(int(e.name) for e in self.files.list(folder) if e.name.isdigit())
+
+    @contextmanager
+    def _lease(self) -> Iterator[bool]:
+        """Whether this session may maintain the store. A lease that its holder has stopped renewing runs out."""
+        path = f"{self.config.base_dir}/lease.json"
+        with self._lock:
+            text = lambda: json.dumps({"owner": self._session, "until": time.time() + LEASE_SECONDS})
+            mine = self.files.claim(path, text())
+            if not mine:
+                try:
+                    held = json.loads(self.files.read_text(path))
+                except Exception:  # it has just gone, or is being written
+                    held = {"until": time.time() + LEASE_SECONDS}
+                if held["until"] < time.time():
+                    self.files.delete(path)
+                    mine = self.files.claim(path, text())
+            if not mine:
+                yield False
+                return
+            ended = threading.Event()
+
+            def renew() -> None:
+                while not ended.wait(LEASE_SECONDS / 4):
+                    self.files.write_text(path, text())
+
+            renewing = threading.Thread(target=renew, daemon=True)
+            renewing.start()
+            try:
+                yield True
+            finally:
+                ended.set()
+                renewing.join()
+                self.files.delete(path)
+
     def close(self) -> None:
         if self._open:
             self.flush()
@@ -133,17 +205,34 @@ class SampleStore:
     # -- writing
 
     def store(self, samples: DataFrame, metrics: DataFrame | None = None) -> None:
-        """Catalog the metrics and buffer the samples; written once ``flush_rows`` are there."""
+        """Catalog the metrics and buffer the samples.
+
+        A bucket, one resource's partition, is written once it holds ``flush_rows``; the others stay. All is written
+        once the oldest rows have been held for ``flush_us``. Buffered rows are in files of the store's file system,
+        computed once; each call counts only its own rows.
+        """
         self._need_open()
         if samples is None:
             raise TypeError("samples are missing")
-        rows = self._checked(samples)
-        if metrics is not None:
-            self.upsert(metrics)
-        self._buffer.append(rows)
-        fullest = ops.bucket_counts(self._buffered(), self.config.partition_us).agg(F.max("n")).first()[0] or 0
-        if fullest >= self.config.flush_rows:
-            self.flush()
+        with self._lock:
+            rows = self._hold(self._checked(samples))
+            if metrics is not None:
+                self.upsert(metrics)
+            self._buffer.append(rows)
+            self._since = self._since or self._now()
+            new = ops.bucket_counts(rows, self.config.partition_us)
+            both = new if self._counts is None else self._counts.unionByName(new).groupBy("resource_id", "p").agg(F.sum("n").alias("n"))
+            self._counts = self._hold(both)
+            full = self._counts.where(F.col("n") >= self.config.flush_rows).select("resource_id", "p")
+            if not full.isEmpty():
+                self.flush(full)
+            self.flush_due()
+
+    def _hold(self, rows: DataFrame) -> DataFrame:
+        self._held += 1
+        path = f"{self.config.base_dir}/.buffer-{self._session}/{self._held}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
 
     def _buffered(self) -> DataFrame:
         rows = self._buffer[0]
@@ -151,22 +240,68 @@ class SampleStore:
             rows = rows.unionByName(more)
         return rows
 
-    def flush(self) -> None:
-        """Write what is buffered. A failing write keeps the buffer."""
-        if self._open and self._buffer:
-            self.bulk_import(self._buffered())
-            self._buffer = []
+    def flush_due(self) -> bool:
+        """Write all that is buffered if the oldest of it has waited for ``flush_us``."""
+        with self._lock:
+            due = self._since is not None and self._now() - self._since >= timedelta(microseconds=self.config.flush_us)
+            if due:
+                self.flush()
+            return due
+
+    def flush(self, buckets: DataFrame | None = None) -> None:
+        """Write what is buffered, or only the given buckets (resource_id, p). A failing write keeps the buffer."""
+        with self._lock:
+            if not self._open or not self._buffer:
+                return
+            rows, folder = self._buffered(), f"{self.config.base_dir}/.buffer-{self._session}"
+            if buckets is None:
+                self.bulk_import(rows)
+                self._clear()
+                self.files.delete(folder)
+                return
+            key = ["resource_id", "p"]
+            labelled = rows.withColumn("p", partition_label("time", self.config.partition_us))
+            rest = self._hold(labelled.join(buckets, key, "left_anti").select(*rows.columns))
+            counts = self._hold(self._counts.join(buckets, key, "left_anti"))
+            self.bulk_import(labelled.join(buckets, key, "left_semi").select(*rows.columns))
+            self._buffer, self._counts = [rest], counts
+            if counts.isEmpty():
+                self._clear()
+                self.files.delete(folder)
+
+    def drain(self, resource_id: str, p: str) -> None:
+        """Write one bucket's buffered rows."""
+        if self._buffer:
+            self.flush(self._counts.where((F.col("resource_id") == resource_id) & (F.col("p") == p)).select("resource_id", "p"))
 
     def bulk_import(self, samples: DataFrame) -> int:
         """Write samples past the buffer; returns the files written."""
+        return self._import(samples, f"import-{uuid.uuid4().hex}", None)
+
+    def import_batch(self, samples: DataFrame, stream: str, number: int) -> int:
+        """Write a batch of a stream exactly once, however often it is tried; returns the files this try has published."""
+        self._need_open()
+        marker = f"{self.config.base_dir}/batches/{stream}/{number}"
+        if self.files.exists(marker):
+            return 0
+        self.files.make(f"{self.config.base_dir}/batches/{stream}")
+        return self._import(samples, f"batch-{stream}-{number}", marker)
+
+    def _import(self, samples: DataFrame, job: str, marker: str | None) -> int:
         self._need_open()
-        before = {e.name for e in self.files.list(self.data)}
-        count_before = self._file_count()
-        rows = self._checked(samples)
-        written = self._write(rows, self.data)
-        self.counters["samples_written"] += written
-        self.counters["partitions_created"] += len({e.name for e in self.files.list(self.data) if e.name.startswith("p=")} - before)
-        return self._file_count() - count_before
+        journal, staging = f"{self.config.base_dir}/journals/{job}.json", f"{self.config.base_dir}/.stage-{job}"
+        if not self.files.exists(journal):
+            self.files.delete(staging)  # of a try that broke off
+            written = self._write(self._checked(samples), staging)
+            self._journal(journal, {"staging": staging, "inputs": {}, "marker": marker})
+            self.counters["samples_written"] += written
+        files, created = self._publish(journal)
+        self.counters["partitions_created"] += created
+        return files
+
+    def _journal(self, path: str, plan: dict) -> None:
+        self.files.make(f"{self.config.base_dir}/journals")
+        self.files.write_text(path, json.dumps(plan))
 
     def _checked(self, samples: DataFrame) -> DataFrame:
         """The stored columns; a row without a resource, or with an empty one, is an error before anything is written."""
@@ -179,11 +314,14 @@ class SampleStore:
 
         seen = Observation()
         labelled = rows.withColumn("p", partition_label("time", self.config.partition_us)).observe(seen, F.count(F.lit(1)).alias("n"))
-        slot = F.pmod(F.xxhash64("resource_id"), F.lit(self.files_per_partition))
-        laid = labelled.repartition("p", slot).sortWithinPartitions("p", "resource_id", "name", "time")
-        laid.write.mode("append").partitionBy("p").option("compression", self.config.compression).parquet(path)
+        self._lay(labelled, path)
         return seen.get["n"]
 
+    def _lay(self, rows: DataFrame, path: str) -> None:
+        """One file a partition where it is small; Spark parts large ones over tasks by size and puts small ones together."""
+        laid = rows.hint("rebalance", "p").sortWithinPartitions("p", "resource_id", "name", "time")
+        laid.write.mode("append").partitionBy("p").option("compression", self.config.compression).parquet(path)
+
     # -- reading
 
     def samples(self, paths: list[str] | None = None, whole: bool = False) -> DataFrame:
@@ -199,10 +337,10 @@ class SampleStore:
 
     def fetch(self, request: FetchRequest) -> DataFrame:
         """time, value of one catalogued metric, by time."""
-        return ops.fetch(self.samples(), self.metrics(), request.metric_key, request.start, request.end, request.aggregation, self.config.partition_us)
+        return ops.fetch(self.samples(), self.metrics(), request.metric_key, request.start, request.end, request.aggregation, self._durations)
 
     def fetch_many(self, matchers: Sequence[TagMatcher], start: datetime, end: datetime) -> DataFrame:
-        return ops.fetch_many(self.samples(), self.metrics(), matchers, start, end, partition_us=self.config.partition_us)
+        return ops.fetch_many(self.samples(), self.metrics(), matchers, start, end, partition_us=self._durations)
 
     def samples_of(self, request: FetchRequest) -> DataFrame:
         """Samples with their metric's tags: the points joined to the one metric."""
@@ -213,103 +351,169 @@ class SampleStore:
     def _partitions(self) -> dict[str, list]:
         return {e.name: [f for f in self.files.list(e.path) if f.name.startswith("part-") and f.name.endswith(".parquet") and not f.is_dir] for e in self.files.list(self.data) if e.is_dir and e.name.startswith("p=")}
 
-    def _file_count(self) -> int:
-        return sum(len(f) for f in self._partitions().values())
+    def _unreadable(self, paths: list[str]) -> set[str]:
+        """Those of the files that have no readable footer, found by one job."""
+        if not paths:
+            return set()
+        seen = self.samples(paths).groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*")).select("f")
+        good = {self._plain(r["f"]) for r in seen.collect()}
+        return {p for p in paths if self._plain(p) not in good}
 
-    def _readable(self, path: str) -> bool:
-        try:
-            self.spark.read.parquet(path).schema  # noqa: B018  reads the footer
-            return True
-        except Exception:
-            return False
+    @staticmethod
+    def _plain(path: str) -> str:
+        return re.sub("^[a-z0-9+.-]*:/*", "/", unquote(path), flags=re.I)
 
     def compact(self, min_files: int = 2) -> int:
         """Merge the files of partitions that have ``min_files`` and drop deleted series' rows; returns partitions changed.
 
         All partitions are rewritten by one job. The result is staged, named in a journal, moved in and
         only then the inputs go; ``open`` finishes a compaction that broke off after its journal was
-        written. Empty files go; those without a readable footer are skipped and stay. A read that fails
-        later fails the whole compaction, and its inputs stay as they are.
+        written. Empty files go; those without a readable footer are skipped and stay. If a read fails later,
+        the partitions are tried in halves until those that fail stand alone; they stay as they are and count as
+        ``compaction_failures``. Tombstones go once every partition that has rows of theirs has been rewritten; those
+        that are added meanwhile stay. While another session maintains the store nothing is done.
         """
         self._need_open()
         if min_files < 2:
             raise ValueError("min_files must be 2 at least")
         began = datetime.now()
-        dead = self._tombstones()
-        doomed = {r["p"] for r in self.samples().join(F.broadcast(dead), ["resource_id", "name"], "left_semi").select("p").distinct().collect()} if dead is not None else set()
-        inputs: dict[str, list[str]] = {}
+        with self._lease() as mine:
+            if not mine:
+                self.counters["compactions_skipped"] += 1
+                return 0
+            done = self._compact(min_files)
+        self.counters["partitions_compacted"] += done
+        self.compaction_seconds.append((datetime.now() - began) / timedelta(seconds=1))
+        return done
+
+    def _compact(self, min_files: int) -> int:
+        buried = [e.path for e in self.files.list(f"{self.config.base_dir}/tombstones") if e.name.startswith("part-")]
+        dead = self._tombstones(buried) if buried else None
+        doomed = self._partitions_of(dead) if dead is not None else set()
+        chosen: dict[str, list[str]] = {}
         for name, files in self._partitions().items():
-            purge = name[2:] in doomed
-            if not purge and len(files) < min_files and all(f.size for f in files):
-                continue
             for f in files:
                 if not f.size:
                     self.files.delete(f.path)
-            good = [f.path for f in files if f.size and self._readable(f.path)]
-            if len(good) >= (1 if purge else min_files):
-                inputs[name] = good
-        if inputs:
+            full = [f.path for f in files if f.size]
+            if full and (name[2:] in doomed or len(full) >= min_files):
+                chosen[name] = full
+        bad = self._unreadable([f for files in chosen.values() for f in files])
+        good = {name: [f for f in files if f not in bad] for name, files in chosen.items()}
+        inputs = {name: files for name, files in good.items() if len(files) >= (1 if name[2:] in doomed else min_files)}
+        failed = self._rewrite_apart(inputs, dead)
+        self.counters["compaction_failures"] += len(failed)
+        purged = not any(name[2:] in doomed and (name in failed or bad & set(files)) for name, files in chosen.items())
+        for path in buried if purged else []:
+            self.files.delete(path)
+        return len(inputs) - len(failed)
+
+    def _rewrite_apart(self, inputs: dict[str, list[str]], dead: DataFrame | None) -> list[str]:
+        """Rewrite partitions, in halves where that fails; returns those that fail alone."""
+        if not inputs:
+            return []
+        try:
             self._rewrite(inputs, dead)
-        if dead is not None:
-            self.files.delete(f"{self.config.base_dir}/tombstones")
-        self.counters["partitions_compacted"] += len(inputs)
-        self.compaction_seconds.append((datetime.now() - began) / timedelta(seconds=1))
-        return len(inputs)
-
-    def _tombstones(self) -> DataFrame | None:
-        """Deleted series that haven't been stored and catalogued again since."""
-        path = f"{self.config.base_dir}/tombstones"
-        if not self.files.exists(path):
-            return None
-        return self.spark.read.schema(TOMBSTONES).parquet(path).distinct().join(cat.live_series(self.metrics()), ["resource_id", "name"], "left_anti")
+            return []
+        except RewriteError as e:
+            if self.spark.sparkContext._jsc.sc().isStopped():
+                raise
+            names = sorted(inputs)
+            if len(names) == 1:
+                print(f"compaction of {names[0]}: {e}")
+                return names
+            half = len(names) // 2
+            return [x for part in (names[:half], names[half:]) for x in self._rewrite_apart({n: inputs[n] for n in part}, dead)]
+
+    def _tombstones(self, paths: list[str]) -> DataFrame | None:
+        """Deleted series that haven't been stored and catalogued again since; none without any."""
+        dead = self.spark.read.schema(TOMBSTONES).parquet(*paths).distinct().join(cat.live_series(self.metrics()), ["resource_id", "name"], "left_anti")
+        few = dead.limit(SMALL_ROWS + 1).count()
+        return None if not few else F.broadcast(dead) if few <= SMALL_ROWS else dead
+
+    def _partitions_of(self, dead: DataFrame) -> set[str]:
+        """Labels of the partitions with rows of deleted series. Their least and largest ids let row groups be skipped."""
+        lo, hi = dead.agg(F.min("resource_id"), F.max("resource_id")).first()
+        rows = self.samples().where(F.col("resource_id").between(lo, hi))
+        return {r["p"] for r in rows.join(dead, ["resource_id", "name"], "left_semi").select("p").distinct().collect()}
 
     def _rewrite(self, inputs: dict[str, list[str]], dead: DataFrame | None) -> None:
-        job = uuid.uuid4().hex
-        staging, journal = f"{self.config.base_dir}/.compact-{job}", f"{self.config.base_dir}/compactions/{job}.json"
+        job = f"compact-{uuid.uuid4().hex}"
+        staging = f"{self.config.base_dir}/.stage-{job}"
         rows = self.samples([f for files in inputs.values() for f in files], whole=True)
         if dead is not None:
             rows = rows.join(dead, ["resource_id", "name"], "left_anti")
-        slot = F.pmod(F.xxhash64("resource_id"), F.lit(self.files_per_partition))
-        laid = rows.select(*SAMPLE_COLUMNS, "p").repartition("p", slot).sortWithinPartitions("p", "resource_id", "name", "time")
-        laid.write.partitionBy("p").option("compression", self.config.compression).parquet(staging)
-        self.files.make(f"{self.config.base_dir}/compactions")
-        self.files.write_text(journal, json.dumps({"staging": staging, "inputs": inputs}))
+        try:
+            self._lay(rows.select(*SAMPLE_COLUMNS, "p"), staging)
+        except Exception as e:
+            self.files.delete(staging)
+            raise RewriteError(str(e).splitlines()[0][:200]) from e
+        journal = f"{self.config.base_dir}/journals/{job}.json"
+        self._journal(journal, {"staging": staging, "inputs": inputs, "marker": None})
         self._publish(journal)
 
-    def _publish(self, journal: str) -> None:
-        """Move staged files in, then delete their inputs; can be run again after breaking off anywhere."""
-        plan = json.loads(self.files.read_text(journal))
+    def _publish(self, journal: str) -> tuple[int, int]:
+        """Move staged files in, then delete their inputs; can be run again after breaking off anywhere. Files moved, partitions new."""
+        plan, moved, created = json.loads(self.files.read_text(journal)), 0, 0
         for p in self.files.list(plan["staging"]):
-            for f in self.files.list(p.path) if p.is_dir else []:
-                if f.name.startswith("part-"):
-                    self.files.move(f.path, f"{self.data}/{p.name}/{f.name}")
+            parts = [f for f in self.files.list(p.path) if f.name.startswith("part-")] if p.is_dir else []
+            if parts and not self.files.exists(f"{self.data}/{p.name}"):
+                self.files.make(f"{self.data}/{p.name}")
+                created += 1
+            for f in parts:
+                self.files.move(f.path, f"{self.data}/{p.name}/{f.name}")
+                moved += 1
         for files in plan["inputs"].values():
             for f in files:
                 self.files.delete(f)
+        if plan["marker"]:
+            self.files.write_text(plan["marker"], "")
         self.files.delete(plan["staging"])
         self.files.delete(journal)
+        return moved, created
 
     def _recover(self) -> None:
-        for e in self.files.list(f"{self.config.base_dir}/compactions"):
-            if e.name.endswith(".json"):
+        """Finish what sessions that are gone have left. Imports hold no lease, so theirs are left alone while they are young."""
+        old = time.time() * 1000 - 1000 * LEASE_SECONDS
+        mine = lambda e: self._session in e.name
+        for e in self.files.list(f"{self.config.base_dir}/journals"):
+            if e.name.endswith(".json") and (e.name.startswith("compact-") or e.modified < old):
                 self._publish(e.path)
         for e in self.files.list(self.config.base_dir):
-            if e.is_dir and e.name.startswith(".compact-"):
+            stale = e.modified < old and not self.files.exists(f"{self.config.base_dir}/journals/{e.name[7:]}.json")
+            if e.is_dir and e.name.startswith(".stage-") and (e.name.startswith(".stage-compact-") or (stale and self._ages(e) < old)):
+                self.files.delete(e.path)
+            if e.is_dir and e.name.startswith(".buffer-") and not mine(e) and e.modified < time.time() * 1000 - 2 * self.config.sweep_us / 1000:
                 self.files.delete(e.path)
 
+    def _ages(self, folder) -> int:  # noqa: ANN001
+        """When anything in a folder was last changed."""
+        inside = self.files.list(folder.path)
+        return max([folder.modified, *(self._ages(e) if e.is_dir else e.modified for e in inside)])
+
     def sweep(self) -> int:
-        """Delete partitions that ended before the retention's cutoff, and prune the catalog; returns partitions deleted."""
+        """Delete partitions that ended before the retention's cutoff, and prune the catalog; returns partitions deleted.
+
+        A partition ends after the longest duration that has been in use. The catalog is pruned whether or not one went.
+        """
         self._need_open()
+        with self._lease() as mine:
+            if not mine:
+                self.counters["sweeps_skipped"] += 1
+                return 0
+            return self._sweep()
+
+    def _sweep(self) -> int:
         names = [(n,) for n in self._partitions()]
-        cutoff = self._now() - timedelta(microseconds=self.config.retention_us - 0)
-        start = partition_start("name") + F.make_dt_interval(secs=F.lit(self.config.partition_us / 1_000_000))
-        gone = [r["name"] for r in self.spark.createDataFrame(names, "name string").where(start <= F.lit(cutoff).cast("timestamp_ntz")).collect()] if names else []
+        cutoff = self._now() - timedelta(microseconds=self.config.retention_us)
+        ended = ops.expired(F.col("name"), max(self._durations), cutoff)
+        gone = [r["name"] for r in self.spark.createDataFrame(names, "name string").where(ended).collect()] if names else []
         for name in gone:
             self.files.delete(f"{self.data}/{name}")
         for e in self.files.list(self.data):
             if e.is_dir and e.name.startswith("p=") and not self.files.list(e.path):
                 self.files.delete(e.path)
-        if gone and self.config.prune_catalog:
+        if self.config.prune_catalog:
             with_data = self.samples().select("resource_id")
             for rows in self._buffer:
                 with_data = with_data.unionByName(rows.select("resource_id"))
@@ -339,7 +543,8 @@ class SampleStore:
         """measure, value: sizes of the store and the counters of this session."""
         self._need_open()
         partitions = self._partitions()
-        skipped = sum(1 for files in partitions.values() for f in files if not f.size or not self._readable(f.path))
+        skipped = sum(not f.size for files in partitions.values() for f in files)
+        skipped += len(self._unreadable([f.path for files in partitions.values() for f in files if f.size]))
         values = {
             "catalog_size": cat.to_metrics(self.tags()).count(),
             "partitions": len(partitions),
@@ -347,7 +552,7 @@ class SampleStore:
             "bytes": sum(f.size for files in partitions.values() for f in files),
             "unreadable_files": skipped,
             "compactions": len(self.compaction_seconds),
-            **{k: self.counters[k] for k in ("samples_written", "samples_read", "partitions_created", "partitions_compacted", "partitions_deleted")},
+            **{k: self.counters[k] for k in ("samples_written", "samples_read", "partitions_created", "partitions_compacted", "partitions_deleted", "compaction_failures")},
         }
         return self.spark.createDataFrame([(k, int(v)) for k, v in values.items()], "measure string, value long")
 

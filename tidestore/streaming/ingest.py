@@ -1,12 +1,14 @@
 """Streaming ingest: micro-batches of samples appended to a store.
 
 Late rows are accepted and go to the partition of their own time, so no watermark is needed. The
-checkpoint makes a batch that broke off run again, which is stronger than a buffer in memory: rows are
-written at least once, and exactly once per batch because a batch's files carry its number.
+checkpoint makes a batch that broke off run again. A batch is staged and published under the stream's own id and
+its number, so it is stored exactly once however often it runs, and streams never take each other's
+batches for their own. A checkpoint that is deleted begins a new stream.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,18 +31,10 @@ def ingest(samples: DataFrame, store: SampleStore, checkpoint: str, interval_us:
     """
 
     def append(batch: DataFrame, number: int) -> None:
-        done = f"{store.config.base_dir}/batches/{number}"
-        if store.files.exists(done):
-            return
-        batch.persist()
-        try:
-            if catalog is not None:
-                store.upsert(catalog(batch).withColumn("seq", F.lit(number).cast("long")))
-            store.bulk_import(batch)
-            store.files.make(f"{store.config.base_dir}/batches")
-            store.files.write_text(done, str(number))
-        finally:
-            batch.unpersist()
+        stream = json.loads(store.files.read_text(f"{checkpoint}/metadata"))["id"]
+        if catalog is not None:
+            store.upsert(catalog(batch).withColumn("seq", F.lit(number).cast("long")))
+        store.import_batch(batch, stream, number)
 
     writer = samples.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": f"{max(1, interval_us // 1_000_000)} seconds"} if interval_us else {"availableNow": True}
