@@ -9,6 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from tidestore.plans.oracles import ORACLE_SQL
 from tidestore.plans.queries import QUERIES
+from tidestore.plans.scenarios import ORACLES, SCENARIOS
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,10 +35,10 @@ def test_every_query_has_a_twin():
     assert set(QUERIES) == set(ORACLE_SQL)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES | SCENARIOS))
 def test_query(spark, sql, name):
-    got = QUERIES[name](spark, SF)
-    want = sql.sql(ORACLE_SQL[name])
+    got = (QUERIES | SCENARIOS)[name](spark, SF)
+    want = sql.sql((ORACLE_SQL | ORACLES)[name])
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     rows = [dict(zip(want.columns, r, strict=True)) for r in want.fetchall()]

@@ -64,6 +64,12 @@ def parse_enum(text: Column | str, allowed: tuple[str, ...]) -> Column:
     return F.when(name.isNull() | name.isin(*allowed), name).otherwise(F.raise_error(F.concat(F.lit("unknown name: "), name)).cast("string"))
 
 
+def known_enum(text: Column | str, allowed: tuple[str, ...]) -> Column:
+    """Whether ``parse_enum`` takes a name; null is taken."""
+    name = F.trim(_col(text))
+    return name.isNull() | name.isin(*allowed)
+
+
 def is_counter(ds_type: Column | str) -> Column:
     return _col(ds_type) != "GAUGE"
 

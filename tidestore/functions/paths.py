@@ -77,14 +77,11 @@ def partition_start(name: Column | str) -> Column:
     return F.when(name.startswith("p=") & F.size(part).between(3, 5) & digits, start)
 
 
-def _encoded_char(c: Column) -> Column:
-    return F.when(c.rlike(r"^[A-Za-z0-9._-]$"), c).otherwise(F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1"))
-
-
 def encode_element(element: Column | str) -> Column:
     """A path element in which only letters, digits, dot, underscore and dash stand for themselves."""
     element = _col(element)
-    plain = F.array_join(F.transform(F.split(element, ""), _encoded_char), "")
+    # the form encoding, which differs for blanks and asterisks only
+    plain = F.replace(F.replace(F.url_encode(element), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
     return F.when(element.isin(".", ".."), F.regexp_replace(element, r"\.", "%2E")).when(element == "", F.lit("")).otherwise(plain)
 
 

@@ -270,8 +270,18 @@ def source_index(dump: Column, name: str) -> Column:
     return (F.array_position(F.transform(dump["ds"], lambda d: d["name"]), name) - 1).cast("int")
 
 
-def format_equals(a: Column, b: Column) -> Column:
-    """Same step, sources (name, heartbeat, bounds) and archives (resolution, rows), in order."""
-    shape = lambda d: F.transform(d["ds"], lambda s: F.struct(s["name"], s["heartbeat"], s["min"], s["max"]))
-    size = lambda d: F.transform(d["rra"], lambda r: F.struct(r["k"], F.size(r["rows"])))
+def source_format(ds: Column, typed: bool = False) -> Column:
+    """What two sources must share to have one format: name, heartbeat and bounds; if ``typed``, type and formula too."""
+    return F.struct(ds["name"], ds["heartbeat"], ds["min"], ds["max"], *([F.trim(ds["type"]), F.trim(ds["cdef"])] if typed else []))
+
+
+def archive_format(rra: Column, typed: bool = False) -> Column:
+    """What two archives must share to have one format: resolution and rows; if ``typed``, consolidation too."""
+    return F.struct(rra["k"], F.size(rra["rows"]), *([F.trim(rra["cf"])] if typed else []))
+
+
+def format_equals(a: Column, b: Column, typed: bool = False) -> Column:
+    """Same step, sources and archives, in order."""
+    shape = lambda d: F.transform(d["ds"], lambda s: source_format(s, typed))
+    size = lambda d: F.transform(d["rra"], lambda r: archive_format(r, typed))
     return a["step"].eqNullSafe(b["step"]) & shape(a).eqNullSafe(shape(b)) & size(a).eqNullSafe(size(b))

@@ -83,6 +83,17 @@ inc as (
   select metric_key, 'host=renamed' || case when u % 6 = 0 then '2' else '1' end as meta from m where u % 3 = 0
   union all select 'new:' || metric_key, null from m where u = 1)"""
 
+RRD_COUNTER = f"""
+with recursive {ARCH},
+start as (
+  select c.file, c.k, c.w, c.i as n, c.ts, (file * 1000003 % 9000000)::double as raw from cell c where d = 1 and ts = last_ts),
+walk as (
+  select file, k, w, n as i, ts, raw - raw % w as prev, true as known from start
+  union all
+  select walk.file, walk.k, walk.w, walk.i - 1, walk.ts - walk.w,
+         case when prev - coalesce(c.v, 0) * walk.w < 0 then prev - coalesce(c.v, 0) * walk.w + pow(2, 64) else prev - coalesce(c.v, 0) * walk.w end, c.v is not null
+  from walk join cell c on c.file = walk.file and c.k = walk.k and c.d = 1 and c.i = walk.i where walk.i > 0)
+select file, ts, prev as value from walk join win using (file, ts, k) where known"""
 ORACLE_SQL: dict[str, str] = {
     **{name: f"with {TAGS}, {KEYS} {_found(matchers)}" for name, matchers in FIND.items()},
     **{name: f"with {EV} select 'p=' || {_label(duration_us(duration), shape, 'time')} as p, count(*) as n from ev group by 1" for name, (duration, shape) in PARTITIONS.items()},
@@ -104,7 +115,7 @@ select event_id, name, epoch_us(coalesce(try_strptime(name, 'p=%Y-%m-%d'), try_s
     "shard_path": f"""
 with r as (
   select page_id as id, url as resource_id from pages
-  union all select doc_id, '/' || source || '//../' || regexp_replace(substr(text, 1, 24), '[/\\n]', ' ', 'g') from documents)
+  union all select doc_id, '/' || source || '//../' || regexp_replace(text, '[/\\n]', ' ', 'g') from documents)
 select id, resource_id, {SHARD} as shard from r""",
     "partition_path": f"with {EV} select distinct resource_id || '/p=' || strftime(time, '%Y-%m-%d') as path from ev",
     "epoch_micros": "select epoch_us(ts) as time_us, 0::bigint as lost from events",
@@ -154,18 +165,10 @@ select event_id, case event_id % 6 when 3 then event_id::double when 4 then 1500
     "rrd_select": f"with {ARCH} select file, pos, cf, k from sel",
     "rrd_stitch": f"with {ARCH} select file, k, begin_ts, until_ts from b",
     "rrd_gauge": f"with {ARCH} select c.file, c.ts, c.v as value from cell c join win using (file, ts, k) where d = 0 and v is not null",
-    "rrd_counter": f"""
-with recursive {ARCH},
-start as (
-  select c.file, c.k, c.w, c.i as n, c.ts, (file * 1000003 % 9000000)::double as raw from cell c where d = 1 and ts = last_ts),
-walk as (
-  select file, k, w, n as i, ts, raw - raw % w as prev, true as known from start
-  union all
-  select walk.file, walk.k, walk.w, walk.i - 1, walk.ts - walk.w,
-         case when prev - coalesce(c.v, 0) * walk.w < 0 then prev - coalesce(c.v, 0) * walk.w + pow(2, 64) else prev - coalesce(c.v, 0) * walk.w end, c.v is not null
-  from walk join cell c on c.file = walk.file and c.k = walk.k and c.d = 1 and c.i = walk.i where walk.i > 0)
-select file, ts, prev as value from walk join win using (file, ts, k) where known""",
-    "rrd_import": f"with {ARCH} select 'snmp/' || c.file || '/net' as resource_id, 'load' as name, c.ts * 1000000 as time_us, c.v as value, 'mtype=gauge' as meta from cell c join win using (file, ts, k) where d = 0 and v is not null",
+    "rrd_counter": RRD_COUNTER,
+    "rrd_import": RRD_COUNTER.replace("select file, ts, prev as value from walk join win using (file, ts, k) where known", """
+select 'snmp/' || file || '/net' as resource_id, 'octets' as name, ts * 1000000 as time_us, prev as value, 'mtype=count' as meta from walk join win using (file, ts, k) where known
+union all select 'snmp/' || c.file || '/net', 'load', c.ts * 1000000, c.v, 'mtype=gauge' from cell c join win using (file, ts, k) where d = 0 and v is not null"""),
     "rrd_split": f"with {CELL_SUM} select file, case d when 0 then 'load' else 'octets' end as ds, sum(coalesce(v, 0))::double as total from cell group by file, d",
     "rrd_merge": f"with {CELL_SUM} select file, sum(coalesce(v, 0))::double as total from cell group by file",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
@@ -159,7 +160,7 @@ def partition_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def shard_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = tables.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("resource_id"))
-    texts = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("/"), F.col("source"), F.lit("//../"), F.regexp_replace(F.substring("text", 1, 24), r"[/\n]", " ")).alias("resource_id"))
+    texts = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("/"), F.col("source"), F.lit("//../"), F.regexp_replace("text", r"[/\n]", " ")).alias("resource_id"))
     return urls.unionByName(texts).select("id", "resource_id", paths.shard_path("resource_id").alias("shard"))
 
 
@@ -284,12 +285,8 @@ def compact_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("p").agg(F.count_distinct(F.col("event_id") % 40).alias("files")).where("files >= 2")
 
 
-def _label_start(p: str) -> Column:
-    return paths.partition_start(F.concat(F.lit("p="), F.col(p)))
-
-
 def _expired(p: str) -> Column:
-    return _label_start(p) + F.make_dt_interval(days=F.lit(1)) <= F.lit(NOW - timedelta(microseconds=RETENTION)).cast("timestamp_ntz")
+    return ops.expired(F.concat(F.lit("p="), F.col(p)), DAY, NOW - timedelta(microseconds=RETENTION))
 
 
 def _line_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,7 +304,12 @@ def retention_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """A new folder that all machines see; a local one only where all runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster see")
+        root = "file:///tmp/checkpoints"
     return f"{root.rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
@@ -429,7 +431,8 @@ def rrd_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rrd_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = rrd.history(tables.dumps(spark, sf_dir), ["file"]).where("type = 'GAUGE'")
+    """Both sources of every archive."""
+    h = rrd.history(tables.dumps(spark, sf_dir), ["file"])
     s = rrd.import_samples(h, F.concat(F.lit("snmp/"), F.col("file").cast("string")), F.lit("net"))
     return _points(s.select("resource_id", "name", "time", "value", _tag_text("meta").alias("meta")))
 

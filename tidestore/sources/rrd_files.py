@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidestore.functions.numbers import parse_double, parse_long
+from tidestore.functions.numbers import CF_V1, CF_V3, DS_V1, DS_V3, known_enum, parse_double, parse_long
 from tidestore.functions.paths import remove_extension
 
 _DS = "struct<name: string, type: string, minimal_heartbeat: string, min: string, max: string, last_ds: string, value: string, unknown_sec: string, cdef: string>"
@@ -16,7 +16,9 @@ DUMP_XML = f"struct<version: string, step: string, lastupdate: string, ds: array
 
 
 def parse_dump(xml: Column | str) -> Column:
-    """A dump's XML as nested columns, null if it can't be read. Document types are cut off, not loaded.
+    """A dump's XML as nested columns, null if it can't be read or names an unknown source type or consolidation.
+
+    Document types are cut off, not loaded. Dumps of the first version know fewer names.
 
     Numbers are read as text first, since ``U`` would void a whole record.
     """
@@ -41,7 +43,10 @@ def parse_dump(xml: Column | str) -> Column:
         ),
     )
     whole = F.struct(trimmed(raw["version"]).alias("version"), parse_long(raw["step"]).alias("step"), parse_long(raw["lastupdate"]).alias("lastupdate"), ds.alias("ds"), F.coalesce(rra, F.array()).alias("rra"))
-    return F.when(raw["step"].isNotNull() & raw["lastupdate"].isNotNull() & raw["ds"].isNotNull(), whole)
+    first = F.coalesce(trimmed(raw["version"]) == "0001", F.lit(False)) | F.coalesce(raw["version"].contains("JRobin"), F.lit(False))
+    names = lambda part, field, allowed: F.forall(F.coalesce(part, F.array()), lambda x: known_enum(x[field], allowed))
+    known = F.when(first, names(raw["ds"], "type", DS_V1) & names(raw["rra"], "cf", CF_V1)).otherwise(names(raw["ds"], "type", DS_V3) & names(raw["rra"], "cf", CF_V3))
+    return F.when(raw["step"].isNotNull() & raw["lastupdate"].isNotNull() & raw["ds"].isNotNull() & known, whole)
 
 
 def read_dumps(spark: SparkSession, path: str, glob: str = "*.xml") -> DataFrame:

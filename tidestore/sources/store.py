@@ -24,12 +24,12 @@ import threading
 import time
 import uuid
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from datetime import datetime, timedelta, timezone
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidestore.functions.paths import catalog_root, data_root, partition_label
@@ -65,6 +65,7 @@ class SampleStore:
         self._session = uuid.uuid4().hex
         self._lock = threading.RLock()
         self._durations: list[int] = []
+        self._reads: list[Observation] = []
         self._clear()
 
     def _clear(self) -> None:
@@ -310,8 +311,6 @@ class SampleStore:
         return samples.select(resource.alias("resource_id"), F.coalesce("name", F.lit("")).alias("name"), F.col("time").cast("timestamp_ntz").alias("time"), F.col("value").cast("double").alias("value"))
 
     def _write(self, rows: DataFrame, path: str) -> int:
-        from pyspark.sql import Observation
-
         seen = Observation()
         labelled = rows.withColumn("p", partition_label("time", self.config.partition_us)).observe(seen, F.count(F.lit(1)).alias("n"))
         self._lay(labelled, path)
@@ -337,10 +336,29 @@ class SampleStore:
 
     def fetch(self, request: FetchRequest) -> DataFrame:
         """time, value of one catalogued metric, by time."""
-        return ops.fetch(self.samples(), self.metrics(), request.metric_key, request.start, request.end, request.aggregation, self._durations)
+        return self._counted(ops.fetch)(self.samples(), self.metrics(), request.metric_key, request.start, request.end, request.aggregation, self._durations)
 
     def fetch_many(self, matchers: Sequence[TagMatcher], start: datetime, end: datetime) -> DataFrame:
-        return ops.fetch_many(self.samples(), self.metrics(), matchers, start, end, partition_us=self._durations)
+        return self._counted(ops.fetch_many)(self.samples(), self.metrics(), matchers, start, end, partition_us=self._durations)
+
+    def _counted(self, read: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        """The rows of a read count as ``samples_read`` the first time that the returned frame runs."""
+
+        def run(*args: object, **named: object) -> DataFrame:
+            seen = Observation()
+            self._reads.append(seen)
+            return read(*args, **named).observe(seen, F.count(F.lit(1)).alias("n"))
+
+        return run
+
+    def _count_reads(self) -> None:
+        open_ = []
+        for seen in self._reads:
+            if seen._jo is not None and seen._jo.future().isCompleted():
+                self.counters["samples_read"] += seen.get["n"]
+            else:
+                open_.append(seen)
+        self._reads = open_
 
     def samples_of(self, request: FetchRequest) -> DataFrame:
         """Samples with their metric's tags: the points joined to the one metric."""
@@ -542,6 +560,7 @@ class SampleStore:
     def stats(self) -> DataFrame:
         """measure, value: sizes of the store and the counters of this session."""
         self._need_open()
+        self._count_reads()
         partitions = self._partitions()
         skipped = sum(not f.size for files in partitions.values() for f in files)
         skipped += len(self._unreadable([f.path for files in partitions.values() for f in files if f.size]))
@@ -556,6 +575,11 @@ class SampleStore:
         }
         return self.spark.createDataFrame([(k, int(v)) for k, v in values.items()], "measure string, value long")
 
+    def export_stats(self, path: str) -> None:
+        """Write the measures of ``stats``, one line each, to a file that a collector can read."""
+        lines = [f"tidestore_{r['measure']} {r['value']}" for r in self.stats().collect()]
+        self.files.write_text(path, "\n".join(lines) + "\n")
+
 
 def read_sharded_layout(spark: SparkSession, base_dir: str, metrics: DataFrame) -> DataFrame:
     """Samples of a store that has one directory tree a resource: ``data/<encoded resource>/p=<label>/part-*``.
