@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidestore.llm._frames import mapped
 from tidestore.llm._text import chunks
 
 #: Fixed values of the container format: capture pattern, header flags, header layout.
@@ -203,7 +204,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
                     media.append(encode_payload(text + bytes(PAD if not text else -len(text) % PAD), len(text)))
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(media, pa.binary())], ["doc_id", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, media binary")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, media binary")
 
 
 def decode_media(media: DataFrame) -> DataFrame:
@@ -218,7 +219,7 @@ def decode_media(media: DataFrame) -> DataFrame:
                 columns = [pa.array([g[k] for g in got], kind) for k, kind in (("unpadded", pa.int64()), ("payload", pa.binary()), ("feature", pa.string()))]
                 yield pa.record_batch([part.column(0), *columns, part.column(1)], ["doc_id", "n_bytes", "payload", "feature", "media"])
 
-    return media.select("doc_id", "media").mapInArrow(run, schema)
+    return mapped(media.select("doc_id", "media"), run, schema)
 
 
 def media_report(docs: DataFrame) -> DataFrame:
