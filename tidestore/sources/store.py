@@ -531,7 +531,7 @@ class SampleStore:
         for e in self.files.list(self.data):
             if e.is_dir and e.name.startswith("p=") and not self.files.list(e.path):
                 self.files.delete(e.path)
-        if self.config.prune_catalog:
+        if self.config.prune_catalog and self._versions():
             with_data = self.samples().select("resource_id")
             for rows in self._buffer:
                 with_data = with_data.unionByName(rows.select("resource_id"))
