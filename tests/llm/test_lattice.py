@@ -42,15 +42,15 @@ def test_forward_sums_all_segmentations(tiny):
 
 
 def test_expected_counts_are_posteriors(tiny):
-    texts = ["abc", "abbc", "bcbcabc"]
+    texts, times = ["abc", "abbc", "bcbcabc"], np.array([1.0, 5.0, 2.0])
     lattice, log_p, want = lm.Lattice(tiny), np.log(tiny.weight), np.zeros(8)
-    for t in texts:
+    for t, n in zip(texts, times, strict=True):
         all_ = [(math.prod(tiny.weight[j] for j in s), s) for s in segmentations(b" " + t.encode(), tiny.pieces)]
         total = sum(p for p, _ in all_)
         for p, s in all_:
             for j in s:
-                want[j] += p / total
-    got = sum(lattice.expected(unit, offs, log_p) for _, unit, offs in chunk(texts))
+                want[j] += n * p / total
+    got = sum(lattice.expected(unit, offs, log_p, times[pick]) for pick, unit, offs in chunk(texts))
     assert got == pytest.approx(want)
 
 
@@ -67,6 +67,43 @@ def test_word_probabilities_sum_to_one(tiny):
     assert 0.5 < total <= 1 + 1e-9
 
 
+def slow_log10(texts, held, vocabulary, rounds, smoothing=0.1):
+    """log10 probability of each text by plain loops: expected counts, then the sum over segmentations."""
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    token = lambda t: [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))]
+    counts = Counter(w for i, t in texts if not held(i) for w in token(t))
+    ends, n = sum(not held(i) for i, _ in texts), sum(counts.values())
+    at = {p: k for k, p in enumerate(vocabulary.pieces) if p}
+    longest, p = max(map(len, at)), vocabulary.weight
+
+    def sums(word):
+        ahead, behind = [1.0] + [0.0] * len(word), [0.0] * len(word) + [1.0]
+        arcs = [(i, j, at[word[i:j]]) for i in range(len(word)) for j in range(i + 1, min(len(word), i + longest) + 1) if word[i:j] in at]
+        for i, j, k in arcs:
+            ahead[j] += ahead[i] * p[k]
+        for i, j, k in sorted(arcs, key=lambda x: -x[0]):
+            behind[i] += p[k] * behind[j]
+        return ahead, behind, arcs
+
+    for _ in range(rounds):
+        uses = np.full(len(p), smoothing)
+        for w, c in counts.items():
+            ahead, behind, arcs = sums(b" " + w)
+            for i, j, k in arcs:
+                uses[k] += c * ahead[i] * p[k] * behind[j] / ahead[-1]
+        uses[-1] += n
+        p = vocabulary.normalised(uses)
+    word = lambda w: math.log10(sums(b" " + w)[0][-1] * p[-1] * n / (n + ends))
+    return {i: sum(map(word, token(t))) + math.log10(ends / (n + ends)) for i, t in texts}
+
+
+def test_scores_equal_plain_loops(make_docs):
+    rows = [(i, words(12 + i % 5, i % 17) + " the Éa") for i in range(40)] + [(500, None), (502, "unseen wörds")]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    got = {r["doc_id"]: r["score"] for r in lm.lattice_report(make_docs(rows)).collect()}
+    assert got == pytest.approx(slow_log10(rows, held, lm.read_vocabulary(lm.default_vocabulary()), lm.LatticeParams().rounds), rel=1e-9)
+
+
 def test_report(make_docs):
     rows = [(i, words(40 + i % 9, i % 30) + " The the É") for i in range(120)] + [(500, None), (501, ""), (None, "no id"), (502, "z" * 3000), (7, words(40 + 7 % 9, 7) + " The the É")]
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})

@@ -1,29 +1,26 @@
 """Language-model scoring by a subword lattice.
 
-The vocabulary is that of a public tokenizer file, its pieces with their scores; it is not trained. A
+The vocabulary is that of a public tokenizer file, its pieces with their scores; no tokenizer is trained. A
 word is a piece that starts with a space, then more pieces, then a stop. Every way to segment a word
-into pieces counts: its lattice probability is the sum over all segmentations of the product of their
-pieces' probabilities, found by a forward recursion in log space. Single bytes are pieces too, so every
+into pieces counts: its probability is the sum over all segmentations of the product of their pieces'
+unigram probabilities, found by a forward recursion in log space. Single bytes are pieces too, so every
 word has a probability. First pieces, and further pieces with the stop, each sum to 1, and so do words.
+A text's probability is the product over its words and its end, where an end has the share that ends have
+of all training tokens and words have the rest; the probabilities of all texts sum to 1.
 
-The file's scores are ranks; the first probabilities fall with rank as 1 / (1 + rank). They are then
-fitted by expected counts (forward and backward recursion over all segmentations) to the distinct words
-of all training texts.
-
-A word that training has seen has one more arc, the whole word, with its count less a discount over all
-tokens; the mass that the discounts leave weighs the segmentations. With the discount D, c of N tokens
-and V distinct words that is ``P(w) = max(c - D, 0) / N + D V / N * lattice(w)``; a text's probability is
-the product over its words and its end, and the probabilities of all texts sum to 1. (Without the whole
-words as arcs the lattice alone falls short of counting words; see the README.)
+The public file's scores are ranks, not probabilities; they are taken as 1 / (1 + rank) first and then fitted to the
+training texts by expected counts (forward and backward recursion over all segmentations), where every
+distinct word weighs as often as it occurs.
 
 Flow: distinct words are counted by task before they are shuffled; expected counts come back as one sum
-a piece. The most frequent words, ``frequent`` at most, travel in the task closure and settle most
-tokens where they are read; the rest join the word table by word, and a word outside the frequent ones
-is by that too rare to be a hot key.
-
-Edge cases: null and empty texts consist of the end alone. A null id is trained on and not held out.
-Rows with equal id and text come out as often as they went in. Without training texts N is 0, the base
-gives every token probability 1, the pieces keep their first probabilities and word and end share evenly. Extra columns are ignored.
+a piece. The words that all texts, held out or not, use most, ``frequent`` at most, travel in the task closure and
+settle most tokens where they are read; the rest join the word table by word, and a word outside the
+frequent ones is by that too rare to be a hot key.
+
+Edge cases: null and empty texts consist of the end alone; very long texts are chunks of their own. A null id
+is trained on and not held out. Rows with equal id and text come out as often as they went in. Without
+training texts N is 0, the base gives every token probability 1, the pieces keep their first probabilities
+and word and end share evenly. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidestore.llm._frames import crc_of_id, written
+from tidestore.llm._frames import crc_of_id, mapped, written
 from tidestore.llm._text import HashIndex, binary_column, chunks, mix, spans, words
 
 LN10 = float(np.log(10.0))
@@ -47,7 +44,6 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 class LatticeParams:
     rounds: int = 3  # of fitting
     smoothing: float = 0.1  # added to each piece's expected count
-    whole_words: bool = True  # whether words seen in training are arcs of their own
     frequent: int = 131_072  # words that are broadcast at most
     batch_words: int = 20_000
     merge_rows: int = 1_000_000  # distinct words that a counting task holds before it passes them on
@@ -146,8 +142,8 @@ class Lattice:
         value = self._recur(len(data) + n, b, a, depth, log_p[piece], offs[:-1] + np.arange(n))
         return value[offs[1:] + np.arange(n)]
 
-    def expected(self, data: np.ndarray, offs: np.ndarray, log_p: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece in the words."""
+    def expected(self, data: np.ndarray, offs: np.ndarray, log_p: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece in the words, each of which counts ``times``."""
         n = len(offs) - 1
         a, b, piece, depth, from_depth = self.arcs(data, offs)
         own = log_p[piece]
@@ -155,7 +151,7 @@ class Lattice:
         alpha = self._recur(len(data) + n, b, a, depth, own, first)
         beta = self._recur(len(data) + n, a, b, -from_depth, own, last)
         w = np.searchsorted(first, a, "right") - 1
-        share = np.exp(alpha[a] + own + beta[b] - alpha[last][w])
+        share = np.exp(alpha[a] + own + beta[b] - alpha[last][w]) * times[w]
         return np.bincount(piece, share, len(log_p))
 
 
@@ -176,58 +172,59 @@ def _units(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, np.ndar
 
 
 def count_words(docs: DataFrame, params: LatticeParams) -> DataFrame:
-    """word, c: every distinct word of all texts, with its count in those whose ``learn`` is true."""
+    """word, c, t: every distinct word of all texts, with its count in those whose ``learn`` is true and in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]] = []
 
         def merged() -> pa.RecordBatch:
             h, inverse_at, back = np.unique(np.concatenate([x[0] for x in held]), return_index=True, return_inverse=True)
-            c = np.bincount(back, np.concatenate([x[1] for x in held]), len(h)).astype(np.int64)
-            text = pa.concat_arrays([x[2] for x in held]).take(pa.array(inverse_at)).cast(pa.string())
+            c, t = (np.bincount(back, np.concatenate([x[i] for x in held]), len(h)).astype(np.int64) for i in (1, 2))
+            text = pa.concat_arrays([x[3] for x in held]).take(pa.array(inverse_at)).cast(pa.string())
             held.clear()
-            return pa.record_batch([text, pa.array(c)], ["word", "c"])
+            return pa.record_batch([text, pa.array(c), pa.array(t)], ["word", "c", "t"])
 
         for batch in batches:
             learn = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
             for a, b, data, offs in chunks(batch):
                 w = words(data, offs)
                 h, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
-                held.append((h, np.bincount(back, learn[a:b][w.doc], len(h)), spans(w.lowered, w.start[first], w.length[first])))
+                held.append((h, np.bincount(back, learn[a:b][w.doc], len(h)), np.bincount(back, minlength=len(h)), spans(w.lowered, w.start[first], w.length[first])))
                 if sum(len(x[0]) for x in held) > params.merge_rows:
                     yield merged()
         if held:
             yield merged()
 
-    return docs.select("text", "learn").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return mapped(docs.select("text", "learn"), run, "word string, c long, t long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
 
 
-def fit_pieces(table: DataFrame, distinct: int, vocabulary: Vocabulary, params: LatticeParams) -> np.ndarray:
-    """Natural log probabilities of the pieces after ``rounds`` of expected counts over the words with c > 0."""
+def fit_pieces(table: DataFrame, tokens: int, vocabulary: Vocabulary, params: LatticeParams) -> np.ndarray:
+    """Natural log probabilities of the pieces after ``rounds`` of expected counts over the ``tokens`` words of training."""
     p = vocabulary.weight
     size = params.batch_words
-    for _ in range(params.rounds if distinct else 0):
+    for _ in range(params.rounds if tokens else 0):
         log_p = np.log(p)
 
         def run(batches: Iterator[pa.RecordBatch], log_p: np.ndarray = log_p) -> Iterator[pa.RecordBatch]:
             lattice, total = Lattice(vocabulary), np.zeros(len(log_p))
             for batch in batches:
-                for _, unit, offs in _units(batch, size):
-                    total += lattice.expected(unit, offs, log_p)
+                times = batch.column(1).to_numpy().astype(float)
+                for pick, unit, offs in _units(batch, size):
+                    total += lattice.expected(unit, offs, log_p, times[pick])
             used = np.flatnonzero(total)
             yield pa.record_batch([pa.array(used), pa.array(total[used])], ["piece", "uses"])
 
-        got = table.where("c > 0").select("word").mapInArrow(run, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
+        got = mapped(table.where("c > 0").select("word", "c"), run, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
         uses = np.full(len(p), params.smoothing)
         for r in got:
             uses[r["piece"]] += r["uses"]
-        uses[-1] += distinct
+        uses[-1] += tokens
         p = vocabulary.normalised(uses)
     return np.log(p)
 
 
-def score_words(table: DataFrame, log_p: np.ndarray, vocabulary: Vocabulary, tokens: int, discount: float, rest: float, params: LatticeParams) -> DataFrame:
-    """(word, c) with lp, the word's log10 probability; ``rest`` is the mass that the lattice has."""
+def score_words(table: DataFrame, log_p: np.ndarray, vocabulary: Vocabulary, share: float, params: LatticeParams) -> DataFrame:
+    """(word, c, t) with lp, the log10 probability that a token is the word; ``share`` is that of words among tokens."""
     size = params.batch_words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,25 +232,21 @@ def score_words(table: DataFrame, log_p: np.ndarray, vocabulary: Vocabulary, tok
         for batch in batches:
             lp = np.zeros(batch.num_rows)
             for pick, unit, offs in _units(batch, size):
-                lp[pick] = lattice.forward(unit, offs, log_p) + log_p[-1] + np.log(rest)
-            if discount < 1:
-                whole = np.maximum(batch.column(1).to_numpy() - discount, 0.0) / max(1, tokens)
-                lp = np.logaddexp(lp, np.log(whole, out=np.full(len(lp), -np.inf), where=whole > 0))
-            lp /= LN10
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(lp)], ["word", "c", "lp"])
+                lp[pick] = (lattice.forward(unit, offs, log_p) + log_p[-1] + np.log(share)) / LN10
+            yield pa.record_batch([*batch.columns, pa.array(lp)], ["word", "c", "t", "lp"])
 
-    return table.select("word", "c").mapInArrow(run, "word string, c long, lp double")
+    return mapped(table.select("word", "c", "t"), run, "word string, c long, t long, lp double")
 
 
 def _frequent(scored: DataFrame, most: int) -> tuple[int, list]:
-    """A count, and the words that reach it, ``most`` at most."""
-    bins = scored.where("c > 0").groupBy(F.floor(F.log2("c")).cast("int").alias("b")).count().collect()
+    """A count in all texts, and the words that reach it, ``most`` at most."""
+    bins = scored.groupBy(F.floor(F.log2("t")).cast("int").alias("b")).count().collect()
     total, bar = 0, 62
     for b, n in sorted(((r["b"], r["count"]) for r in bins), reverse=True):
         if total + n > most:
             break
         total, bar = total + n, b
-    return 1 << bar, scored.where(F.floor(F.log2("c")) >= bar).collect() if total else []
+    return 1 << bar, scored.where(F.floor(F.log2("t")) >= bar).collect() if total else []
 
 
 _SUMS = ("copies", "n_tokens", "n_known", "log_c", "lp")
@@ -268,22 +261,18 @@ def lattice_scores(docs: DataFrame, learn: Column, vocabulary_path: str, params:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("learn", F.coalesce(learn, F.lit(True)))
     table = written(count_words(rows, params))
     ends = rows.where("learn").count()
-    total = table.agg(F.sum("c").alias("n"), *(F.count(F.when(when, 1)).alias(k) for k, when in (("v", F.col("c") > 0), ("n1", F.col("c") == 1), ("n2", F.col("c") == 2)))).first()
+    total = table.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     train_words, distinct_words = total["n"] or 0, total["v"]
     train_tokens, distinct = train_words + ends, distinct_words + (1 if ends else 0)
-    log_p = fit_pieces(table, distinct_words, vocabulary, params)
-    if not params.whole_words or not distinct_words:
-        discount, rest = 1.0, (train_words / train_tokens if distinct_words and train_tokens else 0.5)
-    else:
-        discount = min(max(total["n1"] / max(1, total["n1"] + 2 * total["n2"]), 0.1), 0.95)
-        rest = discount * distinct_words / train_tokens
-    scored = written(score_words(table, log_p, vocabulary, train_tokens, discount, rest, params))
+    log_p = fit_pieces(table, train_words, vocabulary, params)
+    share = train_words / train_tokens if train_words else 0.5
+    scored = written(score_words(table, log_p, vocabulary, share, params))
     bar, top = _frequent(scored, params.frequent)
     joined = np.frombuffer(" ".join(r["word"] for r in top).encode(), np.uint8)
     known = HashIndex(words(joined, np.array([0, len(joined)])).hash)
     top_log = np.log10(np.array([r["c"] for r in top], float) + 0.1)
-    top_lp = np.array([r["lp"] for r in top], float)
-    end_log, end_lp = float(np.log10(ends + 0.1)), float(np.log10(ends / train_tokens)) if ends and train_words else float(np.log10(0.5))
+    top_lp, top_known = np.array([r["lp"] for r in top], float), np.array([r["c"] > 0 for r in top], float)
+    end_log, end_lp = float(np.log10(ends + 0.1)), float(np.log10(ends / train_tokens if ends and train_words else 0.5))
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,7 +285,7 @@ def lattice_scores(docs: DataFrame, learn: Column, vocabulary_path: str, params:
                 columns = [
                     np.ones(n, np.int64),
                     np.bincount(w.doc, minlength=n) + 1,
-                    np.bincount(doc, minlength=n) + (1 if ends else 0),
+                    np.bincount(doc, top_known[at], n).astype(np.int64) + (1 if ends else 0),
                     np.bincount(doc, top_log[at], n) + end_log,
                     np.bincount(doc, top_lp[at], n) + end_lp,
                 ]
@@ -316,8 +305,8 @@ def lattice_scores(docs: DataFrame, learn: Column, vocabulary_path: str, params:
                 yield pa.record_batch([batch.column(0).slice(a, b - a).take(doc), batch.column(2).slice(a, b - a).take(doc), text, pa.array(k)], ["doc_id", "th", "word", "k"])
 
     keyed = rows.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
-    whole = keyed.mapInArrow(settled, "doc_id long, th long, copies long, n_tokens long, n_known long, log_c double, lp double")
-    apart = keyed.mapInArrow(rare, "doc_id long, th long, word string, k long").join(scored.where(F.col("c") < bar), "word")
+    whole = mapped(keyed, settled, "doc_id long, th long, copies long, n_tokens long, n_known long, log_c double, lp double")
+    apart = mapped(keyed, rare, "doc_id long, th long, word string, k long").join(scored.where(F.col("t") < bar), "word")
     late = apart.select(
         "doc_id", "th", F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("k")).otherwise(0).cast("long").alias("n_known"),
         (F.col("k") * F.log10(F.col("c") + 0.1)).alias("log_c"), (F.col("k") * F.col("lp")).alias("lp"),
