@@ -38,7 +38,7 @@ def test_takes_meet_targets(make_docs):
         size[r["source"]] += r["size"]
         taken[r["source"]] += r["taken"]
         target[r["source"]] = r["target"]
-        assert 0 <= r["taken"] <= 2 * r["size"] and (r["position"] is None or 0 <= r["position"] <= 1)
+        assert 0 <= r["taken"] <= 2 * r["size"] and (all(r[p] is None or 0 <= r[p] <= 1 for p in ("first_position", "second_position")))
     order = sorted(size, key=lambda s: (s is None, s or ""))
     want = mixing.water_fill([size[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], 1.5, 2)
     assert [target[s] for s in order] == want
@@ -47,19 +47,21 @@ def test_takes_meet_targets(make_docs):
 
 def test_positions_follow_the_schedule(make_docs):
     params = mixing.MixParams(slopes=(0.5, 0.0, -0.5), bucket_rows=16)
-    got = [r for r in mixing.mix_plan(make_docs([(i, words(10, i), "abc"[i % 3]) for i in range(900)]), params).collect() if r["position"] is not None]
+    got = mixing.mix_plan(make_docs([(i, words(10, i), "abc"[i % 3]) for i in range(900)]), params).collect()
     for source, slope in zip("abc", params.slopes, strict=True):
         mine = sorted((r for r in got if r["source"] == source), key=lambda r: r["key"])
         place = 0
-        for r in mine:
-            t, y = r["position"], min(1, place / r["target"])
-            assert (1 - slope) * t + slope * t * t == pytest.approx(y, abs=1e-9)
-            place += r["size"]
+        for column, take in (("first_position", "first_take"), ("second_position", "second_take")):
+            for r in mine:
+                t, y = r[column], min(1, place / r["target"])
+                assert (t is None) == (r[take] == 0)
+                assert t is None or (1 - slope) * t + slope * t * t == pytest.approx(y, abs=1e-9)
+                place += r["size"]
 
 
 def test_buckets_change_nothing(make_docs):
     docs = make_docs(rows())
-    a, b = (sorted(mixing.mix_plan(docs, mixing.MixParams(bucket_rows=n)).select("doc_id", "size", "taken", "position").collect(), key=str) for n in (4, 100_000))
+    a, b = (sorted(mixing.mix_plan(docs, mixing.MixParams(bucket_rows=n)).select("doc_id", "size", "taken", "first_position", "second_position").collect(), key=str) for n in (4, 100_000))
     assert a == b
 
 

@@ -73,15 +73,15 @@ def _order_key(col: str) -> Column:
     return F.md5(F.coalesce(F.col(col).cast("string"), F.lit("")))
 
 
-def _sources(sized: DataFrame, params: MixParams) -> tuple[DataFrame, int]:
-    """One row a source: source, source_no, source_size, target, slope; and the rows of the largest source."""
+def _sources(sized: DataFrame, params: MixParams) -> tuple[DataFrame, int, bool]:
+    """One row a source: source, source_no, source_size, target, slope; the rows of the largest source; whether to broadcast."""
     rows = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     weights = [float(params.weights[i % len(params.weights)]) for i in range(len(rows))]
     targets = water_fill([r["size"] for r in rows], weights, params.share, params.most)
     data = [(r["source"], i, r["size"], t, float(params.slopes[i % len(params.slopes)])) for i, (r, t) in enumerate(zip(rows, targets, strict=True))]
     schema = "source string, source_no int, source_size long, target double, slope double"
-    return sized.sparkSession.createDataFrame(data, schema), max((r["n"] for r in rows), default=0)
+    return sized.sparkSession.createDataFrame(data, schema), max((r["n"] for r in rows), default=0), len(rows) <= 50_000
 
 
 def _position(place: Column, target: Column, slope: Column) -> Column:
@@ -93,17 +93,18 @@ def _position(place: Column, target: Column, slope: Column) -> Column:
 
 
 def mix_plan(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
-    """doc_id, key, source, size, source_size, target, place, first_take, second_take, taken, position of every row.
+    """doc_id, key, source, size, source_size, target, place, first_take, second_take, taken, first_position, second_position of every row.
 
-    ``place`` is the words of the source before the row. ``first_take`` and ``second_take`` are the words taken in the first and in all later passes; position
-    is that of the first take, null if nothing is taken. ``most`` may be 2 at most.
+    ``place`` is the words of the source before the row. ``first_take`` and ``second_take`` are the words taken in the
+    first and in the second pass; the positions are the training times at which the source's integrated weight reaches
+    their places, null for a pass that takes nothing. ``most`` may be 2 at most.
     """
     if params.most > 2:
         raise ValueError("two passes at most")
     sized = written(_sized(docs))
-    sources, largest = _sources(sized, params)
+    sources, largest, few = _sources(sized, params)
     digits = max(0, math.ceil(math.log(max(1, largest / params.bucket_rows), 16)))
-    rows = sized.join(F.broadcast(sources), sized["source"].eqNullSafe(sources["source"])).drop(sources["source"]).withColumn("bucket", F.substring("key", 1, digits))
+    rows = sized.join(F.broadcast(sources) if few else sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"]).withColumn("bucket", F.substring("key", 1, digits))
     sums = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source_no", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("offset"))
@@ -116,8 +117,9 @@ def mix_plan(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
         placed.withColumn("first_take", part(F.col("place")))
         .withColumn("second_take", part(F.col("source_size") + F.col("place")))
         .withColumn("taken", F.col("first_take") + F.col("second_take"))
-        .withColumn("position", F.when(F.col("taken") > 0, _position(F.col("place"), F.col("target"), F.col("slope"))))
-        .select("doc_id", "key", "source", "source_no", "size", "source_size", "target", "slope", "place", "first_take", "second_take", "taken", "position")
+        .withColumn("first_position", F.when(F.col("first_take") > 0, _position(F.col("place"), F.col("target"), F.col("slope"))))
+        .withColumn("second_position", F.when(F.col("second_take") > 0, _position(F.col("source_size") + F.col("place"), F.col("target"), F.col("slope"))))
+        .select("doc_id", "key", "source", "source_no", "size", "source_size", "target", "slope", "place", "first_take", "second_take", "taken", "first_position", "second_position")
     )
 
 
@@ -194,8 +196,10 @@ def mix_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    plan = mix_plan(docs)
-    return plan.select("doc_id", "size", "source_size", "target", "taken", "position").repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id").drop("position")
+    """Every row with the words taken of it and the training position of each take, range-sorted by the first position."""
+    plan = mix_plan(docs).select("doc_id", "size", "source_size", "target", "taken", "place", "first_position", "second_position")
+    order = (F.col("first_position").asc_nulls_last(), "doc_id")
+    return plan.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 REPORT_SQL = """
@@ -216,11 +220,17 @@ f as (
 level as (select arg_min(remaining / weight_left, k) as x from f where remaining / weight_left <= cap / weight),
 tgt as (select f.*, coalesce(least(cap, x * weight), cap) as target from f, level),
 placed as (
-  select s.doc_id, s.size, t.source_size, t.target,
+  select s.doc_id, s.size, t.source_size, t.target, case t.no % 3 when 0 then 0.5 when 1 then 0.0 else -0.5 end::double as slope,
          coalesce(sum(s.size) over (partition by t.no order by s.key, s.doc_id, s.size rows between unbounded preceding and 1 preceding), 0)::bigint as place,
          floor(t.target + 0.5)::bigint as wanted
-  from sized s join tgt t on s.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-       (greatest(0, least(size, wanted - place)) + greatest(0, least(size, wanted - source_size - place)))::bigint as taken
-from placed
+  from sized s join tgt t on s.source is not distinct from t.source),
+takes as (
+  select *, greatest(0, least(size, wanted - place)) as first, greatest(0, least(size, wanted - source_size - place)) as second,
+         case when target > 0 then least(place / target, 1::double) else 0::double end as y1,
+         case when target > 0 then least((source_size + place) / target, 1::double) else 0::double end as y2
+  from placed)
+select doc_id, size, source_size, target, (first + second)::bigint as taken, place,
+       case when first > 0 then 2 * y1 / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * y1)) end as first_position,
+       case when second > 0 then 2 * y2 / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * y2)) end as second_position
+from takes
 """

@@ -3,27 +3,29 @@
 Lengths are parted into reciprocal-capacity classes: class k holds the lengths in
 ``(capacity / (k + 1), capacity / k]``, and each of its bins takes exactly k of them. A bin never
 depends on another class or another worker, so packing is one pass over the documents with no shuffle;
-a worker keeps at most one open bin a class.
+a worker keeps at most one open bin a class, 2048 bins of 2048 tokens at most.
 
-With ``cut``, a document is first cut into pieces of ``capacity`` and then by the binary digits of what
-is left. Such lengths fill the bins of their classes exactly. What is left in the open bins at a
-worker's end is laid end to end from the longest piece down; since all lengths are powers of two, no
-piece crosses a sequence's end, and the last words of a worker go to sequences whose lengths are powers
-of two as well. Nothing is padded.
+A document is cut at multiples of ``capacity``. What is left stays whole if a bin full of such pieces wastes
+little: at most ``slack`` of the document's tokens for its piece. Otherwise the longest length of the next
+class that fills its bins is cut off, and the shorter rest is judged alike. So most documents are one
+or two pieces, and padding is at most ``slack`` of all tokens and one token a piece. Without ``slack`` a
+document is cut above ``capacity`` only.
+
+What is left in the open bins at a worker's end is laid end to end from the longest piece down and cut at
+sequence ends; the last tokens of a worker go to sequences whose lengths are powers of two.
 
 Token ids come from a public byte-level BPE file by the ``tokenizers`` library. Texts are parted into
 the pretokens of that file's pattern with array operations and each distinct pretoken is encoded once
-a worker; a document with characters that Unicode has added or reclassified since version 3.2 goes
+a task; a document with characters that Unicode has added or reclassified since version 3.2 goes
 through the library as a whole. Both give the same ids.
 
-Edge cases: null and empty texts are one end token; equal documents and repeated ids are packed row by
+Edge cases: null and empty texts are one end token; a very long text is one chunk of its own; equal documents and repeated ids are packed row by
 row; a null id stays null; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
-import sys
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidestore.llm._frames import mapped
 from tidestore.llm._text import _BASE, _BYTE_VALUE, chunks, mix
 
 OTHER, LETTER, NUMBER, SPACE, UNKNOWN = range(5)
@@ -41,8 +44,9 @@ OTHER, LETTER, NUMBER, SPACE, UNKNOWN = range(5)
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: The contractions of the pattern.
 CONTRACTIONS = ("s", "t", "m", "d", "re", "ve", "ll")
-_SLOT_BITS = 21
-_MAX_CACHED_IDS = 8 << 20
+_SLOT_BITS = 20
+_MAX_CACHED_IDS = 4 << 20
+_CHUNK_BYTES = 512 << 10
 
 
 def _classes() -> np.ndarray:
@@ -78,7 +82,7 @@ def pretoken_starts(points: np.ndarray, cls: np.ndarray, first: np.ndarray) -> n
 
 
 class Encoder:
-    """Ids of the documents of a chunk. One a Python worker, kept between its tasks."""
+    """Ids of the documents of a chunk, with a cache of pretokens."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -89,19 +93,12 @@ class Encoder:
         self.classes = _classes()
         self.forget()
 
-    @staticmethod
-    def of_worker(path: str) -> Encoder:
-        held = sys.__dict__.setdefault("_tidestore_encoders", {})
-        if path not in held:
-            held[path] = Encoder(path)
-        return held[path]
-
     def forget(self) -> None:
         """An empty cache: slots by hash, each with the place of its ids."""
         self.key = np.zeros(1 << _SLOT_BITS, np.uint64)
         self.at = np.zeros(1 << _SLOT_BITS, np.int64)
         self.many = np.zeros(1 << _SLOT_BITS, np.int32)
-        self.ids = np.zeros(1 << 20, np.int32)
+        self.ids = np.zeros(1 << 18, np.int32)
         self.used = 0
 
     def learn(self, hashes: np.ndarray, pretokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,9 +112,17 @@ class Encoder:
         at = self.used + np.cumsum(many) - many
         self.used += len(new)
         slot = hashes >> np.uint64(64 - _SLOT_BITS)
+        slot ^= (self.key[slot] != 0).astype(np.uint64)  # where the first place is taken, the one beside it
         self.key[slot], self.at[slot], self.many[slot] = hashes, at, many
         return at, many
 
+    def slots(self, hashes: np.ndarray) -> np.ndarray:
+        """Where each hash is, if it is anywhere: its own place or the one beside it."""
+        slot = hashes >> np.uint64(64 - _SLOT_BITS)
+        beside = np.flatnonzero(self.key[slot] != hashes)
+        slot[beside] ^= np.uint64(1)
+        return slot
+
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the documents end to end, and their borders."""
         n = len(offs) - 1
@@ -139,7 +144,7 @@ class Encoder:
         place = np.arange(len(data)) - np.repeat(begin, length)
         powers = np.multiply.accumulate(np.full(int(length.max()), _BASE, np.uint64))
         h = mix(np.add.reduceat(_BYTE_VALUE[data] * powers[place], begin) + length.astype(np.uint64))
-        slot = h >> np.uint64(64 - _SLOT_BITS)
+        slot = self.slots(h)
         at, many = self.at[slot], self.many[slot]
         missing = np.flatnonzero(self.key[slot] != h)
         if len(missing):
@@ -159,10 +164,27 @@ class Encoder:
         return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
 
 
-def cut_lengths(total: int, capacity: int) -> list[int]:
-    """Whole capacities, then the binary digits of the rest, longest first."""
-    rest = total % capacity
-    return [capacity] * (total // capacity) + [1 << j for j in range(rest.bit_length() - 1, -1, -1) if rest >> j & 1]
+def cut_lengths(total: int, capacity: int, slack: float | None) -> list[int]:
+    """Whole capacities, then pieces whose classes waste at most ``slack`` of ``total`` a piece, longest first."""
+    out, rest = [capacity] * (total // capacity), total % capacity
+    while rest:
+        fixed = capacity // rest
+        if slack is None or capacity / fixed - rest <= max(1.0, slack * total):
+            return [*out, rest]
+        out.append(capacity // (fixed + 1))
+        rest -= out[-1]
+    return out
+
+
+@dataclass(frozen=True)
+class Piece:
+    doc: int | None
+    start: int
+    ids: np.ndarray
+    total: int
+
+    def cut(self, n: int) -> tuple[Piece, Piece]:
+        return Piece(self.doc, self.start, self.ids[:n], self.total), Piece(self.doc, self.start + n, self.ids[n:], self.total)
 
 
 @dataclass
@@ -171,77 +193,76 @@ class HarmonicPacker:
 
     capacity: int
     first_sequence: int = 0
-    open: dict[int, list] = field(default_factory=dict)
+    open: dict[int, list[Piece]] = field(default_factory=dict)
     sequences: int = 0
 
-    def _close(self, pieces: list) -> list:
+    def _close(self, pieces: list[Piece]) -> list[tuple[Piece, int, int]]:
         sequence, offset, out = self.first_sequence + self.sequences, 0, []
         self.sequences += 1
-        for length, piece in pieces:
+        for piece in pieces:
             out.append((piece, sequence, offset))
-            offset += length
+            offset += len(piece.ids)
         return out
 
-    def add(self, length: int, piece: object) -> list:
-        fixed = self.capacity // length
-        if fixed == 1:
-            return self._close([(length, piece)])
+    def add(self, piece: Piece) -> list[tuple[Piece, int, int]]:
+        fixed = self.capacity // len(piece.ids)
         bin_ = self.open.setdefault(fixed, [])
-        bin_.append((length, piece))
+        bin_.append(piece)
         return self._close(self.open.pop(fixed)) if len(bin_) == fixed else []
 
-    def finish(self) -> list:
-        """What the open bins hold: one bin a class, or, if all lengths are powers of two, end to end."""
+    def finish(self, cut: bool = True) -> list[tuple[Piece, int, int]]:
+        """What the open bins hold: end to end, or without ``cut`` one bin a class."""
         bins = [self.open[k] for k in sorted(self.open)]
         self.open = {}
-        if any(length & (length - 1) for b in bins for length, _ in b) or self.capacity & (self.capacity - 1):
+        if not cut:
             return [x for b in bins for x in self._close(b)]
-        rest = sorted((x for b in bins for x in b), key=lambda x: -x[0])
-        left, out, now, room = sum(length for length, _ in rest), [], [], 0
-        for length, piece in rest:
-            if not room:
-                room = self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1)
-                left -= room
-            now.append((length, piece))
-            room -= length
+        rest = sorted((p for b in bins for p in b), key=lambda p: -len(p.ids))
+        left, out, now, room = sum(len(p.ids) for p in rest), [], [], 0
+        for piece in rest:
+            while True:
+                if not room:
+                    room = self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1)
+                    left -= room
+                if len(piece.ids) <= room:
+                    break
+                head, piece = piece.cut(room)
+                out += self._close([*now, head])
+                now, room = [], 0
+            now.append(piece)
+            room -= len(piece.ids)
             if not room:
                 out += self._close(now)
                 now = []
         return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, cut: bool = True) -> DataFrame:
-    """One row a piece: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset.
-
-    Without ``cut`` a document longer than ``capacity`` still is cut at multiples of it, and nowhere else.
-    """
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, slack: float | None = 1 / 64) -> DataFrame:
+    """One row a piece: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset."""
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
-    def table(settled: list) -> pa.RecordBatch:
-        rows = [(*piece, sequence, offset) for piece, sequence, offset in settled]
+    def table(settled: list[tuple[Piece, int, int]]) -> pa.RecordBatch:
+        rows = [(p.doc, p.start, len(p.ids), p.ids.astype("<u4").tobytes(), p.total, sequence, offset) for p, sequence, offset in settled]
         return pa.record_batch([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = HarmonicPacker(capacity, TaskContext.get().partitionId() << 32)
         encoder = None
         for batch in batches:
-            encoder = encoder or Encoder.of_worker(tokenizer_path)
-            for a, b, data, offs in chunks(batch):
+            encoder = encoder or Encoder(tokenizer_path)
+            for a, b, data, offs in chunks(batch, limit=_CHUNK_BYTES):
                 ids, at = encoder.encode(data, offs)
                 settled = []
                 for i, doc in enumerate(batch.column(0).slice(a, b - a).to_pylist()):
-                    own = np.append(ids[at[i] : at[i + 1]], np.int32(end_id)).astype("<u4").tobytes()
-                    total, start = len(own) // 4, 0
-                    lengths = cut_lengths(total, capacity) if cut else [min(capacity, total - s) for s in range(0, total, capacity)]
-                    for length in lengths:
-                        settled += packer.add(length, (doc, start, length, own[4 * start : 4 * (start + length)], total))
+                    own, start = np.append(ids[at[i] : at[i + 1]], np.int32(end_id)), 0
+                    for length in cut_lengths(len(own), capacity, slack):
+                        settled += packer.add(Piece(doc, start, own[start : start + length], len(own)))
                         start += length
                 yield table(settled)
-        yield table(packer.finish())
+        yield table(packer.finish(slack is not None))
 
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
 
 
 def default_tokenizer() -> str:

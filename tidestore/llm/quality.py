@@ -1,18 +1,18 @@
 """Quality classifier: Naive Bayes support vectors (NB-SVM).
 
-A document is a set of hashed n-gram indicators: byte n-grams of orders 1 to 3 and lower-cased word
-n-grams of orders 1 and 2, with the pattern n-grams "a word twice" and "a word four times running".
-Each indicator is scaled by its class log-count ratio, every document is
+A document is a set of hashed n-gram indicators: byte n-grams of orders 1 to 3, lower-cased word n-grams of
+orders 1 and 2, and n-grams of word lengths of orders 2 to 4. Each indicator is scaled by its class log-count ratio, every document is
 brought to length one, and a linear hinge-loss model is fitted by dual coordinate descent. A logistic
 curve, fitted on rows that the descent has not seen, turns margins into scores from 0 to 1.
 
-The fit uses a bounded, documented sample (``QualityParams.per_class`` rows of each class); scoring is
-one pass over all texts with the model (1 MB) broadcast in the task closure: no shuffle of any text.
+The fit uses a bounded, documented sample (``QualityParams.per_class`` rows and ``class_bytes`` of text of each
+class); a fifth of it is kept apart for the curve and enters neither ratios nor descent. Scoring is one pass over all texts with the model (1 MB) broadcast in the task closure: no shuffle of any text.
 
 Edge cases: a null text is an empty one; an empty text has no features and scores the calibrated
 intercept. Without labelled rows of both classes every score is the share of label 1 seen (1.0 if none
-were). A null id is never labelled and not held out. Repeated ids are scored row by row. Extra columns
-are ignored.
+were). A null id is never labelled and not held out. Repeated ids are scored row by row; of the texts of a
+labelled id one is learnt from. A very long text is a chunk of its own; its features are at most ``2 ** bits``.
+Empty tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidestore.llm._classify import collect_features, labelled_sample, score_documents, sums
-from tidestore.llm._frames import crc_of_id
+from tidestore.llm._frames import crc_of_id, give_back
 from tidestore.llm._text import mix, ngrams, words
 
 
@@ -32,6 +32,7 @@ from tidestore.llm._text import mix, ngrams, words
 class QualityParams:
     bits: int = 17  # of the hashed feature space
     per_class: int = 5000  # bound of the labelled sample, for each class
+    class_bytes: int = 64 << 20  # bound of its text, for each class
     alpha: float = 1.0  # added to every indicator count
     cost: float = 1.0  # upper bound of the dual variables
     epochs: int = 12
@@ -58,13 +59,9 @@ def _extractor(bits: int):
             side.append((((code + np.uint64(order << 32)) * np.uint64(0x9E3779B97F4A7C15)) >> low).astype(np.int32))
         w = words(data, offs)
         pair, pair_doc = ngrams(w.hash, w.doc, (0, 1))
-        twice = np.flatnonzero((w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1]))
-        again = twice[np.isin(twice + 1, twice) & np.isin(twice + 2, twice)]
-        runs = np.concatenate((np.zeros(len(twice), np.uint64), np.ones(len(again), np.uint64)))
-        run_doc = np.concatenate((w.doc[twice], w.doc[again]))
-        order_of = np.argsort(run_doc, kind="stable")
-        runs, run_doc = runs[order_of] + np.uint64(77), run_doc[order_of]
-        groups = [((mix(h) >> low).astype(np.int32), np.searchsorted(d, np.arange(n + 1))) for h, d in ((w.hash, w.doc), (pair, pair_doc), (runs, run_doc))]
+        size = np.minimum(w.length, 31).astype(np.uint64)
+        shapes = [ngrams(size, w.doc, tuple(range(order))) for order in (2, 3, 4)]
+        groups = [((mix(h) >> low).astype(np.int32), np.searchsorted(d, np.arange(n + 1))) for h, d in ((w.hash, w.doc), (pair, pair_doc), *shapes)]
         out, at = [], [0]
         for i in range(n):
             for order, s in zip((1, 2, 3), side, strict=True):
@@ -128,15 +125,15 @@ def fit_logistic(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> t
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", params: QualityParams = QualityParams()) -> QualityModel:
     """Fit on the bounded sample of ``labels`` (all of whose rows may be learnt from)."""
     size = 1 << params.bits
-    y, rows = collect_features(labelled_sample(docs, labels, label, params.per_class), _extractor(params.bits))
+    y, rows = collect_features(labelled_sample(docs, labels, label, params.per_class, params.class_bytes), _extractor(params.bits))
     share = {r[label]: r["count"] for r in labels.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
     if len(set(y.tolist())) < 2:
         p = float(y[0]) if len(y) else 1.0
         return QualityModel(np.zeros(size, np.float32), np.zeros(size, np.float32), 0.0, 1.0, 20.0 if p else -20.0)
-    ratio = log_count_ratio(y, rows, size, params.alpha)
     apart = np.arange(len(y)) % 5 == 0  # rows for the curve
     fit = np.flatnonzero(~apart) if len(set(y[~apart].tolist())) == 2 and len(set(y[apart].tolist())) == 2 else np.arange(len(y))
     test = np.setdiff1d(np.arange(len(y)), fit) if len(fit) < len(y) else fit
+    ratio = log_count_ratio(y[fit], [rows[i] for i in fit], size, params.alpha)
     w, b = dual_coordinate_descent(2 * y[fit] - 1, [rows[i] for i in fit], ratio, params.cost, params.epochs)
     w *= ratio
     norm = [max(np.sqrt(np.sum(ratio[rows[i]] ** 2)), 1e-12) for i in test]
@@ -144,6 +141,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", para
     per = {c: share[c] / max(1, int((y == c).sum())) for c in (0, 1)}
     weight = np.array([per[int(c)] for c in y[test]])
     slope, shift = fit_logistic(margin, y[test], weight / weight.mean())
+    del rows
+    give_back()
     return QualityModel(w.astype(np.float32), (ratio**2).astype(np.float32), float(b), slope, shift)
 
 

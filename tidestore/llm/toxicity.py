@@ -5,10 +5,14 @@ between them, hashed to ``2 ** bits`` coordinates. Every coordinate has a learni
 L1 term leaves most weights at exactly zero, so the model travels as a short list of coordinates and
 weights in the task closure. Scoring is one pass over all texts without any shuffle.
 
-The fit uses a bounded, documented sample (``ToxicityParams.per_class`` rows of each class), with both
-classes of equal weight; coordinates that few of its rows have are not learnt. Edge cases are those of the quality classifier: null and empty texts
-score the intercept; without labelled rows of both classes every score is 0.0 or 1.0 as the one class
-says (0.0 if there is none).
+The fit uses a bounded, documented sample (``ToxicityParams.per_class`` rows and ``class_bytes`` of text of each
+class), with both classes of equal weight.
+
+Edge cases: null and empty texts have no features and score the intercept; without labelled rows of both
+classes every score is 0.0 or 1.0 as the one class says (0.0 if there is none). A null id is never labelled
+and not held out. Repeated ids are scored row by row; of the texts of a labelled id one is learnt from. A
+very long text is a chunk of its own; its features are at most ``2 ** bits``. Empty tables give empty results.
+Extra columns are ignored by the report and kept by ``drop_toxic``.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidestore.llm._classify import collect_features, distinct_per_doc, labelled_sample, score_documents, sums
-from tidestore.llm._frames import crc_of_id
+from tidestore.llm._frames import crc_of_id, give_back, mapped
 from tidestore.llm._text import chunks, mix, ngrams, words
 
 
@@ -30,12 +34,12 @@ from tidestore.llm._text import chunks, mix, ngrams, words
 class ToxicityParams:
     bits: int = 20
     per_class: int = 6000  # bound of the labelled sample, for each class
+    class_bytes: int = 64 << 20  # bound of its text, for each class
     alpha: float = 1.0  # learning rate
     beta: float = 1.0
     l1: float = 0.0025  # for each row of the sample
     l2: float = 0.1
     epochs: int = 6
-    min_docs: int = 5  # of the sample's documents must have a coordinate that is learnt
     threshold: float = 0.7
 
 
@@ -60,7 +64,6 @@ def ftrl_proximal(label: np.ndarray, rows: list[np.ndarray], weight: np.ndarray,
     """Weights and intercept after ``epochs`` passes in a fixed shuffled order."""
     size = 1 << params.bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
-    rows = [np.append(x, size) for x in rows]  # the last coordinate is the intercept
     rng, threshold = np.random.default_rng(7), max(0.5, params.l1 * len(rows))
 
     def current(x: np.ndarray) -> np.ndarray:
@@ -69,7 +72,7 @@ def ftrl_proximal(label: np.ndarray, rows: list[np.ndarray], weight: np.ndarray,
 
     for _ in range(params.epochs):
         for i in rng.permutation(len(rows)):
-            x = rows[i]
+            x = np.append(rows[i], np.int32(size))  # the last coordinate is the intercept
             w = current(x)
             p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
             g = (p - label[i]) * weight[i]
@@ -82,18 +85,16 @@ def ftrl_proximal(label: np.ndarray, rows: list[np.ndarray], weight: np.ndarray,
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
     """Fit on the bounded sample of ``labels`` (all of whose rows may be learnt from)."""
-    y, rows = collect_features(labelled_sample(docs, labels, label, params.per_class), _extractor(params.bits))
+    y, rows = collect_features(labelled_sample(docs, labels, label, params.per_class, params.class_bytes), _extractor(params.bits))
     if len(set(y.tolist())) < 2:
         return ToxicityModel(np.zeros(0, np.int32), np.zeros(0, np.float32), 40.0 if len(y) and y[0] else -40.0)
     each = np.array([len(y) / (2 * (y == c).sum()) for c in (0, 1)])
-    count = np.zeros(1 << params.bits, np.int32)
-    for x in rows:
-        count[x] += 1
-    for i, x in enumerate(rows):
-        rows[i] = x[count[x] >= params.min_docs]
     w, bias = ftrl_proximal(y, rows, each[y], params)
     kept = np.flatnonzero(w)
-    return ToxicityModel(kept.astype(np.int32), w[kept].astype(np.float32), bias)
+    model = ToxicityModel(kept.astype(np.int32), w[kept].astype(np.float32), bias)
+    del rows, w
+    give_back()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, params: ToxicityParams = ToxicityParams()) -> DataFrame:
@@ -139,4 +140,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, params: ToxicityParams = Toxi
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
