@@ -51,7 +51,7 @@ def corpus():
 @pytest.mark.parametrize(("shingle", "percent", "block"), [(3, 85, 256), (5, 80, 2)])
 def test_near_duplicates_equal_brute_force(make_docs, shingle, percent, block):
     rows = corpus()
-    params = near_dup.NearDupParams(shingle=shingle, percent=percent, block=block)
+    params = near_dup.NearDupParams(shingle=shingle, percent=percent, block=block, crowd=1 if block == 2 else 16)
     got = {r["doc_id"]: r for r in near_dup.near_duplicates(make_docs(rows), params).collect()}
     sets = {}
     for i, t in rows:
@@ -63,6 +63,27 @@ def test_near_duplicates_equal_brute_force(make_docs, shingle, percent, block):
     assert all(r["n_shingles"] == len(sets[i]) and r["kept"] == (want[i] == i) for i, r in got.items())
 
 
+def test_one_bucket_of_twenty_thousand(spark, monkeypatch):
+    """Texts of one template, most of them unlike: none is compared with all others, and no link is lost."""
+    rng, template = random.Random(4), words(60, 1)
+    rows = []
+    for i in range(20_000):
+        own = " ".join(f"w{rng.randrange(10**9)}" for _ in range(40))
+        rows.append((i, f"{template} {own}" if i % 100 else f"{template} {rows[i - 50][1].split(' ', 60)[60] if i else own} end"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    made = []
+    across = near_dup._across_components
+
+    def counted(members, *rest):
+        made.append(members.agg(near_dup.F.sum("blocks")).first()[0] or 0)
+        return across(members, *rest)
+
+    monkeypatch.setattr(near_dup, "_across_components", counted)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs).collect()}
+    assert got == {i: i - 50 if i and i % 100 == 0 else i for i in range(20_000)}
+    assert sum(made) < 40 * 20_000
+
+
 def test_near_duplicates_of_odd_rows(make_docs):
     text = words(30)
     rows = [(3, text), (3, text), (None, text), (2, text), (9, None), (9, "")]
@@ -180,14 +201,14 @@ def removed(rows, length=50):
     return out
 
 
-@pytest.mark.parametrize("frequent", [20_000, 3])
-def test_substrings_equal_brute_force(spark, make_docs, frequent):
+@pytest.mark.parametrize("shard_bytes", [16 << 20, 600])
+def test_substrings_equal_brute_force(spark, make_docs, shard_bytes):
     rng, rows = random.Random(2), corpus()
     passage, other = "é" + words(30, 500), words(12, 501)
     rows += [(1000 + i, words(20, 600 + i) + passage[rng.randrange(9) :] + words(9, 700 + i) + other) for i in range(25)]
     rows += [(2000, "ab" * 200), (2001, "ab" * 30), (2002, "x" * 49), (2003, "x" * 49), (2004, "x" * 50), (2005, "x" * 51), (None, passage), (2006, "\0" * 60), (2007, "\0" * 55)]
     rows += [(2000, "ab" * 200)]
-    params = substring_dedup.SubstringParams(anchor_rows=frequent, block_bytes=2000, batch_bytes=3000, context_bytes=3000)
+    params = substring_dedup.SubstringParams(shard_bytes=shard_bytes, block_bytes=2000, batch_bytes=3000, context_bytes=3000)
     got = substring_dedup.dedup_substrings(make_docs(rows), params).collect()
     want = removed(rows)
     assert len(got) == len(rows)
@@ -196,6 +217,14 @@ def test_substrings_equal_brute_force(spark, make_docs, frequent):
         assert (r["n_bytes"], n, len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) == want[r["doc_id"]], r["doc_id"]
 
 
+def test_merge_of_runs_whose_high_halves_collide():
+    runs = [([1, 5, 5, 9], [0, 1, 3, 0], [4, 7, 2, 1]), ([5, 5, 8], [1, 2, 0], [3, 9, 9]), ([], [], [])]
+    runs = [(np.array(h, np.uint64), np.array(lo, np.uint64), np.array(m, np.int64)) for h, lo, m in runs]
+    high, low, least, places = substring_dedup.merge_sorted(runs)
+    assert list(zip(high.tolist(), low.tolist(), least.tolist(), strict=True)) == [(1, 0, 4), (5, 1, 3), (5, 2, 9), (5, 3, 2), (8, 0, 9), (9, 0, 1)]
+    assert [p.tolist() for p in places] == [[0, 1, 3, 5], [1, 2, 4], []]
+
+
 def test_substrings_of_nothing(make_docs):
     assert substring_dedup.substring_report(make_docs([(1, "")]).limit(0)).count() == 0
     got = substring_dedup.substring_report(make_docs([(1, None), (2, "")])).collect()

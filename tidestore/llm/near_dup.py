@@ -6,18 +6,23 @@
 3. Bands of ``rows`` minima are bucketed. Round one ties every bucket's members to its least member
    (one pair a member); pairs whose signatures could reach the threshold are confirmed on full sets.
 4. Round two looks only at buckets that still hold several components, and compares members of
-   different components, block by block: a bucket is cut into blocks of bounded size, and a task sees
-   two blocks. A first pass compares signatures and names the members that have a possible partner;
+   different components. A first pass compares signatures and names the members that have a possible partner;
    a second one has their full sets, confirms, and returns only links that tie components together,
    at most one less than the components there. Nothing is capped and no pairs are listed.
-5. Full sets are recomputed for the documents concerned, so a link is exact up to 64-bit hash collisions
+   A bucket is cut into blocks of a bounded number of members and shingles, and a task sees two blocks.
+5. Buckets of more than ``crowd`` blocks aren't compared so, since the pairs of blocks grow with the square: their
+   members are bucketed anew by twice as many minima, by as many keys as the same chance of a miss needs, and
+   rounds one and two run on those keys. Texts that share a template meet by few minima, but not by many.
+   Only what is still crowded at ``4 * rows`` minima is compared block by block whatever its size.
+6. Full sets are recomputed for the documents concerned, so a link is exact up to 64-bit hash collisions
    inside two documents. Components come from alternating large-star and small-star rounds.
 
 A pair at the threshold is missed with probability ``miss`` at most (see ``bands_for``). Skipping pairs
 that already are in one component cannot change components.
 
 Edge cases: null and empty texts, and texts without words, have the empty set and link with nothing;
-a text with fewer words than a shingle has one shingle, the whole sequence. Rows without an id have
+a text with fewer words than a shingle has one shingle, the whole sequence. A very long text is a chunk of
+its own. Rows without an id have
 no place in a group and come out with null component and kept = true. A repeated id counts as one
 document with the union of its rows' links; each of its rows is returned, and is kept with it. Extra
 columns, of any name, are ignored.
@@ -34,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidestore.llm._frames import own_names, written
+from tidestore.llm._frames import lean, mapped, own_names, written
 from tidestore.llm._text import chunks, mix, ngrams, words
 from tidestore.llm.components import connected_components
 
@@ -46,6 +51,8 @@ class NearDupParams:
     rows: int = 5  # minima in a band
     miss: float = 1e-6  # chance that a pair at the threshold shares no band
     block: int = 512  # members of a bucket that one task compares with as many others
+    block_shingles: int = 1 << 20  # and their shingles together
+    crowd: int = 16  # blocks of a bucket above which its members are bucketed anew
 
     @property
     def bands(self) -> int:
@@ -87,8 +94,8 @@ _SIGNED = "doc_id long, n_shingles long, set_hi long, set_lo long, signature bin
 def _signatures(docs: DataFrame, params: NearDupParams) -> DataFrame:
     k = params.bands * params.rows
     rng = np.random.default_rng(97)
-    mul = rng.integers(1, 1 << 63, k, dtype=np.uint64) | np.uint64(1)
-    add = rng.integers(0, 1 << 63, k, dtype=np.uint64)
+    mul = rng.integers(0, 1 << 32, k, dtype=np.uint32) | np.uint32(1)
+    add = rng.integers(0, 1 << 32, k, dtype=np.uint32)
     shingle, step = params.shingle, 2048
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,21 +103,24 @@ def _signatures(docs: DataFrame, params: NearDupParams) -> DataFrame:
             for a, b, data, offs in chunks(batch):
                 sets, at = shingle_sets(data, offs, shingle)
                 low = mix(sets)
+                short = (low >> np.uint64(32)).astype(np.uint32)
                 minima, fingerprint = [], np.zeros((b - a, 2), np.uint64)
                 for i in range(b - a):
                     own = low[at[i] : at[i + 1]]
                     if not len(own):
                         minima.append(None)
                         continue
-                    best = np.full(k, np.iinfo(np.uint64).max, np.uint64)
-                    for j in range(0, len(own), step):
-                        np.minimum(best, (mul[:, None] * own[None, j : j + step] + add[:, None]).min(axis=1), out=best)
-                    minima.append((best >> np.uint64(32)).astype(np.uint32).tobytes())
+                    best = np.full(k, np.iinfo(np.uint32).max, np.uint32)
+                    for j in range(at[i], at[i + 1], step):
+                        hashed = np.multiply.outer(mul, short[j : min(j + step, at[i + 1])])
+                        hashed += add[:, None]
+                        np.minimum(best, hashed.min(axis=1), out=best)
+                    minima.append(best.tobytes())
                     fingerprint[i] = mix(own).sum(), mix(own ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum()
                 sides = [pa.array(fingerprint[:, j].view(np.int64)) for j in (0, 1)]
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), *sides, pa.array(minima, pa.binary())], ["doc_id", "n_shingles", "set_hi", "set_lo", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SIGNED)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, _SIGNED)
 
 
 def _band_keys(reps: DataFrame, params: NearDupParams) -> DataFrame:
@@ -120,6 +130,33 @@ def _band_keys(reps: DataFrame, params: NearDupParams) -> DataFrame:
     return reps.select("id", F.posexplode(bands).alias("band", "key"))
 
 
+def _finer_keys(members: DataFrame, rows: int, params: NearDupParams) -> DataFrame:
+    """(id, band, key) of ``rows`` minima each, drawn anew for each key, for signatures (id, signature)."""
+    many, k = bands_for(params.percent / 100, rows, params.miss), params.bands * params.rows
+    rng = np.random.default_rng(rows)
+    drawn = np.array([rng.choice(k, min(rows, k), replace=False) for _ in range(many)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(part.num_rows, k).astype(np.uint64)
+                key = np.zeros((part.num_rows, many), np.uint64)
+                for j in range(drawn.shape[1]):
+                    key = mix(key * np.uint64(0xD6E8FEB86659FD93) + sig[:, drawn[:, j]] + np.uint64(1))
+                ids = pa.array(np.repeat(part.column(0).to_numpy(), many))
+                yield pa.record_batch([ids, pa.array(np.tile(np.arange(many, dtype=np.int32), part.num_rows)), pa.array(key.ravel().view(np.int64))], ["id", "band", "key"])
+
+    return mapped(members.select("id", "signature"), run, "id long, band int, key long")
+
+
+def _star_links(keys: DataFrame, reps: DataFrame, docs: DataFrame, params: NearDupParams) -> DataFrame:
+    """Confirmed links of the members of every bucket with its least member."""
+    least = keys.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "key", "a")
+    star = keys.join(least, ["band", "key"]).where("id > a").select("a", F.col("id").alias("b")).distinct()
+    return written(_confirmed(written(_likely(star, reps, params)), docs, params))
+
+
 def _likely(pairs: DataFrame, reps: DataFrame, params: NearDupParams) -> DataFrame:
     """The pairs (a, b) whose signatures agree in so many minima that the threshold is possible."""
     sig = reps.select("id", "signature", "n_shingles")
@@ -132,7 +169,7 @@ def _likely(pairs: DataFrame, reps: DataFrame, params: NearDupParams) -> DataFra
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in (2, 3))
                 yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
 
-    return two.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return mapped(two.select("a", "b", "sig_a", "sig_b"), run, "a long, b long")
 
 
 def _least_agreement(params: NearDupParams) -> int:
@@ -159,7 +196,7 @@ def _full_sets(docs: DataFrame, needed: DataFrame, params: NearDupParams) -> Dat
     needed = needed.distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
     few = needed.count() <= 1_000_000  # ids of 8 bytes; beyond that Spark shuffles both sides
-    return texts.join(F.broadcast(needed) if few else needed, "id", "left_semi").mapInArrow(run, "id long, shingles array<bigint>")
+    return mapped(texts.join(F.broadcast(needed) if few else needed, "id", "left_semi"), run, "id long, shingles array<bigint>")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, params: NearDupParams) -> DataFrame:
@@ -173,34 +210,38 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, params: NearDupParams) -> Data
 _CELL = ["band", "key", "i", "j"]
 
 
-def _across_components(keys: DataFrame, reps: DataFrame, component: DataFrame, docs: DataFrame, params: NearDupParams) -> DataFrame:
-    """Links (a, b) between bucket mates in different components, enough to tie together all that are linked."""
+def _mixed(keys: DataFrame, reps: DataFrame, component: DataFrame, params: NearDupParams) -> DataFrame:
+    """band, key, id, component, n_shingles, blocks: members of the buckets that hold several components."""
     named = keys.join(component, "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = named.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("band", "key", "n")
-    members = named.join(mixed, ["band", "key"]).withColumn("blocks", F.ceil(F.col("n") / params.block).cast("long"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")))
+    sized = named.join(reps.select("id", "n_shingles"), "id")
+    of = sized.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("s")).where("lo != hi")
+    blocks = F.ceil(F.greatest(F.col("n") / params.block, F.col("s") / params.block_shingles)).cast("long")
+    return sized.join(of.select("band", "key", blocks.alias("blocks")), ["band", "key"])
+
+
+def _across_components(members: DataFrame, reps: DataFrame, docs: DataFrame, params: NearDupParams) -> DataFrame:
+    """Links (a, b) between bucket mates (see ``_mixed``) in different components, enough to tie together all that are linked."""
+    members = members.drop("n_shingles").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")))
     signed = members.join(reps.select("id", "signature", "n_shingles"), "id")
     spread = signed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cells = spread.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n_shingles", "signature")
-    least, percent, bands, rows = _least_agreement(params), params.percent, params.bands, params.rows
+    least, percent = _least_agreement(params), params.percent
 
     def possible(group: pa.Table) -> pa.Table:
         ids, comp, n, side = (group.column(c).to_numpy() for c in ("id", "component", "n_shingles", "block"))
-        band, i, j = (group.column(c)[0].as_py() for c in ("band", "i", "j"))
+        i, j = (group.column(c)[0].as_py() for c in ("i", "j"))
         sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(len(ids), -1)
         a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
         hit = np.zeros(len(ids), bool)
         for x in a:
             other = b[comp[b] != comp[x]]
             other = other[np.minimum(n[other], n[x]) * 100 >= np.maximum(n[other], n[x]) * percent]
-            same = sig[other] == sig[x]
-            # the first band in which two meet is the one that compares them
-            fits = (same.sum(axis=1) >= least) & ~same.reshape(len(other), bands, rows)[:, :band].all(axis=2).any(axis=1)
+            fits = (sig[other] == sig[x]).sum(axis=1) >= least
             hit[other[fits]] = True
             hit[x] |= fits.any()
         return group.select([*_CELL, "block", "id", "component"]).filter(pa.array(hit))
 
-    flagged = written(cells.groupBy(*_CELL).applyInArrow(possible, "band int, key long, i long, j long, block long, id long, component long"))
+    flagged = written(cells.groupBy(*_CELL).applyInArrow(lean(possible), "band int, key long, i long, j long, block long, id long, component long"))
 
     def confirm(group: pa.Table) -> pa.Table:
         ids, comp, side = (group.column(c).to_numpy() for c in ("id", "component", "block"))
@@ -231,7 +272,7 @@ def _across_components(keys: DataFrame, reps: DataFrame, component: DataFrame, d
         return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
 
     full = flagged.join(_full_sets(docs, flagged.select("id"), params), "id")
-    return full.groupBy(*_CELL).applyInArrow(confirm, "a long, b long").distinct()
+    return full.groupBy(*_CELL).applyInArrow(lean(confirm), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:
@@ -241,18 +282,25 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     classes = written(sets.groupBy("set_hi", "set_lo", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")))
     reps = classes.select("id", "n_shingles", "signature")
 
-    keys = written(_band_keys(reps, params))
-    least = keys.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "key", "a")
-    star = keys.join(least, ["band", "key"]).where("id > a").select("a", F.col("id").alias("b")).distinct()
-    first = written(_confirmed(written(_likely(star, reps, params)), docs, params))
+    keys, rows = written(_band_keys(reps, params)), params.rows
     copies = sets.select("doc_id", "set_hi", "set_lo", "n_shingles").join(classes.drop("signature"), ["set_hi", "set_lo", "n_shingles"]).select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    found = connected_components(first)
-    second = written(_across_components(keys, reps, found, docs, params))
+    found, links = None, None
+    while True:
+        stars = _star_links(keys, reps, docs, params)
+        found = connected_components(stars if found is None else stars.unionByName(found).unionByName(links))
+        found = found.select(F.col("component").alias("a"), F.col("id").alias("b"))
+        members = _mixed(keys, reps, found.select(F.col("b").alias("id"), F.col("a").alias("component")), params)
+        last = rows >= 4 * params.rows
+        members = written(members)
+        links = written(_across_components(members if last else members.where(F.col("blocks") <= params.crowd), reps, docs, params))
+        crowded = members.where(F.col("blocks") > params.crowd).select("id").distinct()
+        if last or crowded.limit(1).count() == 0:
+            break
+        rows *= 2
+        keys = written(_finer_keys(reps.join(crowded, "id", "left_semi"), rows, params))
     # copies are star links to their representative; a repeated id ties the classes of its rows together
     repeated = copies.groupBy("b").agg(F.min("a").alias("a"), F.max("a").alias("z")).where("a != z").select("b").join(copies, "b").select("a", "b")
-    stars = found.select(F.col("component").alias("a"), F.col("id").alias("b"))
-    links = stars.unionByName(second).unionByName(repeated)
-    component = connected_components(links)
+    component = connected_components(found.unionByName(links).unionByName(repeated))
     of_class = reps.select("id").join(component, "id", "left").select("id", F.coalesce("component", "id").alias("component_id"))
     of_doc = copies.join(of_class, copies["a"] == of_class["id"]).groupBy("b").agg(F.min("component_id").alias("component_id"))
     return (
