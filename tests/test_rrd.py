@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidestore import cli
 from tidestore.model import StoreConfig
 from tidestore.operators import rrd
-from tidestore.sources.rrd_files import parse_dump
+from tidestore.sources.rrd_files import parse_dump, parse_state
 from tidestore.sources.store import SampleStore
 
 XML = """<?xml version="1.0"?>
@@ -130,3 +130,38 @@ def test_commands_need_arguments():
     for bad in ([], ["--base-dir", "x"], ["--base-dir", "x", "import", "y"]):
         with pytest.raises(SystemExit):
             cli.main(bad)
+
+
+def test_binary_archives_are_dumped_by_a_program(spark, tmp_path):
+    node = tmp_path / "rrd" / "snmp" / "5" / "eth0"
+    node.mkdir(parents=True)
+    (node / "ds.properties").write_text("load=net\n")
+    (node / "net.rrd").write_text(dump(1_700_000_000, [("load", "GAUGE", "1")], [("AVERAGE", 1, [(1,), (3,)])]))
+    (node / "bad.rrd").write_text("broken")
+    program = tmp_path / "tool"
+    program.write_text('#!/bin/sh\n[ "$1" = dump ] || exit 2\ngrep -q broken "$2" && exit 1\ncat "$2"\n')
+    program.chmod(0o755)
+    with SampleStore(spark, StoreConfig(base_dir=f"file://{tmp_path}/store")) as store:
+        got = cli.import_dumps(store, f"file://{tmp_path}/rrd", program=str(program))
+        assert got == {"files": 1, "skipped": 1, "samples": 2}
+        assert {(r["resource_id"], r["value"]) for r in store.samples().collect()} == {("snmp/5/eth0/net", v) for v in (1.0, 3.0)}
+        assert cli.import_dumps(store, f"file://{tmp_path}/rrd", program="no-such-program")["samples"] == 0
+
+
+def test_state_of_archives(spark):
+    text = dump(1, [("a", "GAUGE", "1")], [("HWPREDICT", 1, [(1,)])]).replace("<xff>0.5</xff>", "<xff>0.5</xff><hw_alpha>0.1</hw_alpha><dependent_rra_idx> 4 </dependent_rra_idx>")
+    text = text.replace("<cdp_prep/>", "<cdp_prep><ds><primary_value>1.5</primary_value><secondary_value>NaN</secondary_value><value>U</value><unknown_datapoints>3</unknown_datapoints></ds></cdp_prep>")
+    state = spark.createDataFrame([(text,), ("none",)], "xml string").select(parse_state("xml").alias("s")).collect()
+    a = state[0]["s"][0]
+    assert (a["cf"], a["xff"], a["hw_alpha"], a["dependent_rra_idx"], a["window_length"]) == ("HWPREDICT", 0.5, 0.1, 4, None)
+    p = a["points"][0]
+    assert (p["primary_value"], math.isnan(p["secondary_value"]), p["value"], p["unknown_datapoints"]) == (1.5, True, None, 3)
+    assert state[1]["s"] is None
+
+
+def test_node_table_over_jdbc(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = spark.createDataFrame([(5, "Req", "n5"), (6, None, None)], "NODEID int, FOREIGNSOURCE string, FOREIGNID string")
+    rows.write.format("jdbc").options(url=url, dbtable="NODE", driver=driver).save()
+    assert sorted(tuple(r) for r in cli.read_nodes(spark, url, driver=driver).collect()) == [(5, "Req", "n5"), (6, None, None)]

@@ -25,14 +25,16 @@ def read_nodes(spark: SparkSession, url: str, **options: str) -> DataFrame:
     return spark.read.format("jdbc").options(url=url, query=query, **options).load()
 
 
-def import_dumps(store: SampleStore, root: str, by_metric: bool = False, nodes: DataFrame | None = None) -> dict[str, int]:
-    """Import every XML dump under ``root``; returns files read, files skipped and samples written.
+def import_dumps(store: SampleStore, root: str, by_metric: bool = False, nodes: DataFrame | None = None, program: str | None = None) -> dict[str, int]:
+    """Import every XML dump under ``root``, or with a ``program`` what that dumps of every binary archive.
+
+    Returns files read, files skipped and samples written.
 
     ``response`` is always taken by group, ``snmp`` by group or by metric. ``nodes`` (node, foreign_source,
     foreign_id) turns node numbers in paths into foreign sources; dumps of unknown nodes are left out.
     """
     spark = store.spark
-    dumps = rrd_files.read_dumps(spark, root)
+    dumps = rrd_files.dump_binaries(spark, root, program) if program else rrd_files.read_dumps(spark, root)
     directory = F.regexp_replace("file", "/[^/]*$", "")
     stem = paths.remove_extension(F.regexp_extract("file", "([^/]*)$", 1))
     named = dumps.select("file", "dump", directory.alias("directory"), stem.alias("stem"))
@@ -43,7 +45,8 @@ def import_dumps(store: SampleStore, root: str, by_metric: bool = False, nodes:
         other = named.join(metas, (named["directory"] == metas["directory"]) & (named["stem"] == metas["metric"])).select("file", "dump", named["directory"], "grp")
         found = found.where("directory like '%/response/%'").unionByName(other.where("directory like '%/snmp/%'"))
     external = rrd_files.external_tags(spark, root)
-    tagged = found.join(external, "directory", "left")
+    none = F.array().cast(external.schema["external"].dataType)  # not null: the tags are a key of what follows
+    tagged = found.join(external, "directory", "left").withColumn("external", F.coalesce("external", none))
     relative = F.regexp_replace("directory", "^.*/(?=(snmp|response)/)", "")
     pathed = tagged.withColumn("e", paths.path_elements(relative))
     known = nodes if nodes is not None else spark.createDataFrame([], NODES)
@@ -71,6 +74,8 @@ def main(argv: Sequence[str] | None = None) -> int:
     imports.add_argument("root")
     imports.add_argument("--yes", action="store_true", help="confirm that the tree is to be imported")
     imports.add_argument("--by-metric", action="store_true")
+    imports.add_argument("--tool", choices=("xml", "rrdtool"), default="xml", help="read XML dumps, or have binary archives dumped")
+    imports.add_argument("--program", default="rrdtool", help="the program that dumps binary archives, on every executor")
     imports.add_argument("--nodes", help="JDBC address of the node table; turns node numbers into foreign sources")
     args = parser.parse_args(argv)
     if args.command == "import" and not args.yes:
@@ -86,7 +91,7 @@ def main(argv: Sequence[str] | None = None) -> int:
                 print(f"{r['measure']}: {r['value']}")
         else:
             nodes = read_nodes(spark, args.nodes) if args.nodes else None
-            print(import_dumps(store, args.root, args.by_metric, nodes))
+            print(import_dumps(store, args.root, args.by_metric, nodes, args.program if args.tool == "rrdtool" else None))
     return 0
 
 

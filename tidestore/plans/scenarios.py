@@ -146,6 +146,20 @@ def dump_parse(spark: SparkSession) -> Facts:
     return [(r["file"], None if r["none"] else r["t"]) for r in rows]
 
 
+@scenario(("archive", "HWPREDICT 0.5 0.1 4 None"), ("point", "1.5 None 3"), ("unreadable", "None"))
+def archive_state(spark: SparkSession) -> Facts:
+    """Parameters and prepared points that a dump keeps beside its rows."""
+    params = "<params><xff>0.5</xff><hw_alpha>0.1</hw_alpha><dependent_rra_idx> 4 </dependent_rra_idx></params>"
+    points = "<cdp_prep><ds><primary_value>1.5</primary_value><value>U</value><unknown_datapoints>3</unknown_datapoints></ds></cdp_prep>"
+    text = f"<rrd><version>0003</version><step>300</step><lastupdate>1</lastupdate><ds><name>a</name><type>GAUGE</type></ds><rra><cf>HWPREDICT</cf><pdp_per_row>1</pdp_per_row>{params}{points}<database/></rra></rrd>"
+    rows = spark.createDataFrame([(0, text), (1, "<rrd")], "n int, xml string").select("n", rrd_files.parse_state("xml").alias("s")).orderBy("n").collect()
+    a, p = rows[0]["s"][0], rows[0]["s"][0]["points"][0]
+    return [
+        ("archive", f"{a['cf']} {a['xff']} {a['hw_alpha']} {a['dependent_rra_idx']} {a['window_length']}"),
+        ("point", f"{p['primary_value']} {p['value']} {p['unknown_datapoints']}"), ("unreadable", rows[1]["s"]),
+    ]
+
+
 @scenario(
     ("counts", "files 5, skipped 4, samples 4"), ("response/10.0.0.1/net", "load 1.0"), ("response/10.0.0.1/net", "load 3.0"),
     ("snmp/fs/Req/n5/eth0/net", "load 1.0"), ("snmp/fs/Req/n5/eth0/net", "load 3.0"), ("tags", "mtype=gauge alias=up link"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +26,7 @@ def parse_dump(xml: Column | str) -> Column:
     Numbers are read as text first, since ``U`` would void a whole record.
     """
     xml = F.col(xml) if isinstance(xml, str) else xml
-    bare = F.regexp_replace(F.regexp_replace(xml, r"(?s)<!DOCTYPE[^>\[]*(\[.*?\])?[^>]*>", ""), r"(?s)<!--.*?-->", "")
-    raw = F.from_xml(bare, DUMP_XML, {"rowTag": "rrd", "mode": "PERMISSIVE"})
+    raw = F.from_xml(_bare(xml), DUMP_XML, {"rowTag": "rrd", "mode": "PERMISSIVE"})
     trimmed = lambda c: F.trim(c)
     ds = F.transform(
         raw["ds"],
@@ -49,6 +51,52 @@ def parse_dump(xml: Column | str) -> Column:
     return F.when(raw["step"].isNotNull() & raw["lastupdate"].isNotNull() & raw["ds"].isNotNull() & known, whole)
 
 
+def parse_state(xml: Column | str) -> Column:
+    """The running state that a dump of the third version keeps for each archive: parameters and prepared points, as numbers.
+
+    Null where the dump can't be read; an archive without state has null members.
+    """
+    xml = F.col(xml) if isinstance(xml, str) else xml
+    raw = F.from_xml(_bare(xml), DUMP_XML, {"rowTag": "rrd", "mode": "PERMISSIVE"})
+    whole = ("dependent_rra_idx", "seasonal_smooth_idx", "failure_threshold", "window_length")
+    names = [f.split(":")[0] for f in _PARAMS.removeprefix("struct<").removesuffix(">").split(", ")]
+    number = lambda c, name: (parse_long(c[name]) if name in whole else parse_double(c[name])).alias(name)
+    point = lambda d: F.struct(*(number(d, n) for n in ("primary_value", "secondary_value", "value")), parse_long(d["unknown_datapoints"]).alias("unknown_datapoints"), F.trim(d["history"]).alias("history"))
+    return F.transform(raw["rra"], lambda a: F.struct(F.trim(a["cf"]).alias("cf"), *(number(a["params"], n) for n in names), F.transform(a["cdp_prep"]["ds"], point).alias("points")))
+
+
+def _bare(xml: Column) -> Column:
+    """Without document types and comments."""
+    return F.regexp_replace(F.regexp_replace(xml, r"(?s)<!DOCTYPE[^>\[]*(\[.*?\])?[^>]*>", ""), r"(?s)<!--.*?-->", "")
+
+
+def dump_binaries(spark: SparkSession, path: str, program: str = "rrdtool", glob: str = "*.rrd", seconds: float = 60.0) -> DataFrame:
+    """file, dump of every binary archive under a directory, as ``program dump`` writes it; null where that fails.
+
+    The program must be installed on the executors. It gets a copy in the task's own temporary folder, which goes at once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import subprocess
+        import tempfile
+
+        for batch in batches:
+            texts = []
+            for content in batch.column(1).to_pylist():
+                with tempfile.NamedTemporaryFile(suffix=".rrd") as f:
+                    f.write(content)
+                    f.flush()
+                    try:
+                        done = subprocess.run([program, "dump", f.name], capture_output=True, timeout=seconds)
+                        texts.append(done.stdout.decode("utf-8", "replace") if done.returncode == 0 else None)
+                    except (OSError, subprocess.TimeoutExpired):
+                        texts.append(None)
+            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], ["file", "xml"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    return files.select(F.col("_metadata.file_path").alias("file"), "content").mapInArrow(run, "file string, xml string").select("file", parse_dump("xml").alias("dump"))
+
+
 def read_dumps(spark: SparkSession, path: str, glob: str = "*.xml") -> DataFrame:
     """file, dump of every XML dump under a directory; dump is null where a file can't be read."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)

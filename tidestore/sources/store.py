@@ -29,6 +29,7 @@ from contextlib import contextmanager
 from datetime import datetime, timedelta, timezone
 from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,14 @@ LEASE_SECONDS = 120
 SMALL_ROWS = 100_000
 
 
+def _rows_of(seen: Observation) -> int:
+    """The observed count. A plan that Spark finds to be empty is not run and measures nothing."""
+    try:
+        return seen.get["n"]
+    except Py4JJavaError:
+        return 0
+
+
 class RewriteError(RuntimeError):
     """Partitions couldn't be read or staged; nothing has been changed."""
 
@@ -314,7 +323,7 @@ class SampleStore:
         seen = Observation()
         labelled = rows.withColumn("p", partition_label("time", self.config.partition_us)).observe(seen, F.count(F.lit(1)).alias("n"))
         self._lay(labelled, path)
-        return seen.get["n"]
+        return _rows_of(seen)
 
     def _lay(self, rows: DataFrame, path: str) -> None:
         """One file a partition where it is small; Spark parts large ones over tasks by size and puts small ones together."""
@@ -355,7 +364,7 @@ class SampleStore:
         open_ = []
         for seen in self._reads:
             if seen._jo is not None and seen._jo.future().isCompleted():
-                self.counters["samples_read"] += seen.get["n"]
+                self.counters["samples_read"] += _rows_of(seen)
             else:
                 open_.append(seen)
         self._reads = open_
