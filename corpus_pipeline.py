@@ -3,7 +3,17 @@
 ``STAGES`` in order: documents that the toxicity model rejects go; lines that an earlier line equals or
 nearly equals go; one document of each near-duplicate group stays; sources are mixed to target weights,
 documents repeated or left out and put in training order; texts become sequences of at most 2048 tokens.
-Each stage takes (spark, docs, sf_dir) and returns the columns of ``documents``, the last one pieces.
+Each stage takes (spark, docs, sf_dir) and returns the columns of ``documents``, the last one pieces. A stage's
+result is a table in the shared folder, from which the next one starts again if executors are lost.
+
+Edge cases, by stage. Null ids: scored and kept by toxicity; their lines stay and remove none; in no group of
+near duplicates, so kept; ordered as the empty string by mixing; packed under a null id. Null texts: scored
+as empty; unchanged by line dedup; in no group; no words, so they go with their neighbours in the mix; packed as
+one end token. Empty texts alike. A null source is a source of its own, last in order. Repeated ids: every row
+is scored; lines count as earlier by line number; rows of one id are one document of a group, all kept
+or none; mixed row by row. Very long texts are worked on whole. Empty tables give empty results in every stage, and
+without labels nothing is rejected. Columns beside those used pass through every stage but the last, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -44,7 +54,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The classifier and the tokenizer can't be put in SQL; tests compare each stage with brute force.
+#: The classifier and the tokenizer can't be put in SQL; a test compares every stage's rows, and ``run``, with plain loops.
 ORACLE_SQL = None
 
 
