@@ -202,7 +202,9 @@ def removed(rows, length=50):
 
 
 @pytest.mark.parametrize("shard_bytes", [16 << 20, 600])
-def test_substrings_equal_brute_force(spark, make_docs, shard_bytes):
+def test_substrings_equal_brute_force(spark, make_docs, shard_bytes, monkeypatch):
+    merges, merged = [], substring_dedup.merged_ranges
+    monkeypatch.setattr(substring_dedup, "merged_ranges", lambda strings: merges.append(strings.count()) or merged(strings))
     rng, rows = random.Random(2), corpus()
     passage, other = "é" + words(30, 500), words(12, 501)
     rows += [(1000 + i, words(20, 600 + i) + passage[rng.randrange(9) :] + words(9, 700 + i) + other) for i in range(25)]
@@ -210,6 +212,7 @@ def test_substrings_equal_brute_force(spark, make_docs, shard_bytes):
     rows += [(2000, "ab" * 200)]
     params = substring_dedup.SubstringParams(shard_bytes=shard_bytes, block_bytes=2000, batch_bytes=3000, context_bytes=3000)
     got = substring_dedup.dedup_substrings(make_docs(rows), params).collect()
+    assert bool(merges) == (shard_bytes < 1000) and all(n > 20 for n in merges)
     want = removed(rows)
     assert len(got) == len(rows)
     for r in got:

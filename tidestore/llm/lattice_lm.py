@@ -186,7 +186,7 @@ def count_words(docs: DataFrame, params: LatticeParams) -> DataFrame:
 
         for batch in batches:
             learn = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
-            for a, b, data, offs in chunks(batch):
+            for a, b, data, offs in chunks(batch, limit=512 << 10):
                 w = words(data, offs)
                 h, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
                 held.append((h, np.bincount(back, learn[a:b][w.doc], len(h)), np.bincount(back, minlength=len(h)), spans(w.lowered, w.start[first], w.length[first])))

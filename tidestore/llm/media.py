@@ -11,8 +11,9 @@ holds a part of; reading goes on at the next page that is whole. Both directions
 time, so memory is bounded by the longest text. Serial numbers derive from the payload: equal texts
 give equal bytes.
 
-Edge cases: null and empty texts are 64 zero bytes; null media decodes to nulls; rows are independent,
-so repeated rows and null ids just pass; extra columns are ignored.
+Edge cases: null and empty texts are 64 zero bytes; null media decodes to nulls; a very long text is many pages;
+rows are independent, so repeated rows and null ids just pass; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations

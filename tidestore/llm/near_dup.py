@@ -124,14 +124,14 @@ def _signatures(docs: DataFrame, params: NearDupParams) -> DataFrame:
 
 
 def _band_keys(reps: DataFrame, params: NearDupParams) -> DataFrame:
-    """(key, band, id) for every band of every representative."""
+    """id, n_shingles, band, key for every band of every representative."""
     width = params.rows * 4
     bands = F.transform(F.sequence(F.lit(0), F.lit(params.bands - 1)), lambda j: F.xxhash64(j, F.substring("signature", j * width + 1, F.lit(width))))
-    return reps.select("id", F.posexplode(bands).alias("band", "key"))
+    return reps.select("id", "n_shingles", F.posexplode(bands).alias("band", "key"))
 
 
 def _finer_keys(members: DataFrame, rows: int, params: NearDupParams) -> DataFrame:
-    """(id, band, key) of ``rows`` minima each, drawn anew for each key, for signatures (id, signature)."""
+    """id, n_shingles, band, key of ``rows`` minima each, drawn anew for each key, for signatures (id, n_shingles, signature)."""
     many, k = bands_for(params.percent / 100, rows, params.miss), params.bands * params.rows
     rng = np.random.default_rng(rows)
     drawn = np.array([rng.choice(k, min(rows, k), replace=False) for _ in range(many)])
@@ -140,14 +140,14 @@ def _finer_keys(members: DataFrame, rows: int, params: NearDupParams) -> DataFra
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(part.num_rows, k).astype(np.uint64)
+                sig = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint32).reshape(part.num_rows, k).astype(np.uint64)
                 key = np.zeros((part.num_rows, many), np.uint64)
                 for j in range(drawn.shape[1]):
                     key = mix(key * np.uint64(0xD6E8FEB86659FD93) + sig[:, drawn[:, j]] + np.uint64(1))
-                ids = pa.array(np.repeat(part.column(0).to_numpy(), many))
-                yield pa.record_batch([ids, pa.array(np.tile(np.arange(many, dtype=np.int32), part.num_rows)), pa.array(key.ravel().view(np.int64))], ["id", "band", "key"])
+                own = [pa.array(np.repeat(part.column(i).to_numpy(), many)) for i in (0, 1)]
+                yield pa.record_batch([*own, pa.array(np.tile(np.arange(many, dtype=np.int32), part.num_rows)), pa.array(key.ravel().view(np.int64))], ["id", "n_shingles", "band", "key"])
 
-    return mapped(members.select("id", "signature"), run, "id long, band int, key long")
+    return mapped(members.select("id", "n_shingles", "signature"), run, "id long, n_shingles long, band int, key long")
 
 
 def _star_links(keys: DataFrame, reps: DataFrame, docs: DataFrame, params: NearDupParams) -> DataFrame:
@@ -210,33 +210,38 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, params: NearDupParams) -> Data
 _CELL = ["band", "key", "i", "j"]
 
 
-def _mixed(keys: DataFrame, reps: DataFrame, component: DataFrame, params: NearDupParams) -> DataFrame:
+def _mixed(keys: DataFrame, component: DataFrame, params: NearDupParams) -> DataFrame:
     """band, key, id, component, n_shingles, blocks: members of the buckets that hold several components."""
-    named = keys.join(component, "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("component"))
-    sized = named.join(reps.select("id", "n_shingles"), "id")
-    of = sized.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("s")).where("lo != hi")
+    named = keys.join(component, "id", "left").select("band", "key", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
+    of = named.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("s")).where("lo != hi")
     blocks = F.ceil(F.greatest(F.col("n") / params.block, F.col("s") / params.block_shingles)).cast("long")
-    return sized.join(of.select("band", "key", blocks.alias("blocks")), ["band", "key"])
+    return named.join(of.select("band", "key", blocks.alias("blocks")), ["band", "key"])
 
 
-def _across_components(members: DataFrame, reps: DataFrame, docs: DataFrame, params: NearDupParams) -> DataFrame:
-    """Links (a, b) between bucket mates (see ``_mixed``) in different components, enough to tie together all that are linked."""
+def _across_components(members: DataFrame, reps: DataFrame, docs: DataFrame, params: NearDupParams, first: bool) -> DataFrame:
+    """Links (a, b) between bucket mates (see ``_mixed``) in different components, enough to tie together all that are linked.
+
+    ``first`` says that the buckets are those of the signatures' bands.
+    """
     members = members.drop("n_shingles").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")))
     signed = members.join(reps.select("id", "signature", "n_shingles"), "id")
     spread = signed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cells = spread.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n_shingles", "signature")
-    least, percent = _least_agreement(params), params.percent
+    least, percent, bands, rows = _least_agreement(params), params.percent, params.bands, params.rows
 
     def possible(group: pa.Table) -> pa.Table:
         ids, comp, n, side = (group.column(c).to_numpy() for c in ("id", "component", "n_shingles", "block"))
-        i, j = (group.column(c)[0].as_py() for c in ("i", "j"))
+        band, i, j = (group.column(c)[0].as_py() for c in ("band", "i", "j"))
         sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(len(ids), -1)
         a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
         hit = np.zeros(len(ids), bool)
         for x in a:
             other = b[comp[b] != comp[x]]
             other = other[np.minimum(n[other], n[x]) * 100 >= np.maximum(n[other], n[x]) * percent]
-            fits = (sig[other] == sig[x]).sum(axis=1) >= least
+            same = sig[other] == sig[x]
+            fits = same.sum(axis=1) >= least
+            if first:  # the first band in which two meet is the one that compares them
+                fits &= ~same.reshape(len(other), bands, rows)[:, :band].all(axis=2).any(axis=1)
             hit[other[fits]] = True
             hit[x] |= fits.any()
         return group.select([*_CELL, "block", "id", "component"]).filter(pa.array(hit))
@@ -289,10 +294,10 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
         stars = _star_links(keys, reps, docs, params)
         found = connected_components(stars if found is None else stars.unionByName(found).unionByName(links))
         found = found.select(F.col("component").alias("a"), F.col("id").alias("b"))
-        members = _mixed(keys, reps, found.select(F.col("b").alias("id"), F.col("a").alias("component")), params)
+        members = _mixed(keys, found.select(F.col("b").alias("id"), F.col("a").alias("component")), params)
         last = rows >= 4 * params.rows
         members = written(members)
-        links = written(_across_components(members if last else members.where(F.col("blocks") <= params.crowd), reps, docs, params))
+        links = written(_across_components(members if last else members.where(F.col("blocks") <= params.crowd), reps, docs, params, rows == params.rows))
         crowded = members.where(F.col("blocks") > params.crowd).select("id").distinct()
         if last or crowded.limit(1).count() == 0:
             break
