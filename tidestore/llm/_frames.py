@@ -74,6 +74,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Shuffle files, broadcasts and heap of finished steps are kept until the driver collects its garbage; loops ask for it."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_bytes(df: DataFrame, col: str = "text") -> Column:
     return F.coalesce(F.octet_length(F.col(col)), F.lit(0)).cast("long")
 

@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star rounds on a table of links.
 
 Every round is two joins and two aggregations with map-side minima; no node's neighbours are ever
-collected. After each round the links are written to the shared folder, which cuts the lineage and
+collected. Joins are by merge: sides that happen to be small would be broadcast anew in each round, which
+holds threads and memory of the driver. After each round the links are written to the shared folder, which cuts the lineage and
 survives lost executors; rounds end when the links stop changing.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidestore.llm._frames import written
+from tidestore.llm._frames import collect_garbage, written
 
 
 def _towards_minimum(links: DataFrame, large: bool) -> DataFrame:
@@ -22,10 +23,10 @@ def _towards_minimum(links: DataFrame, large: bool) -> DataFrame:
     if large:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        tied = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        tied = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         least = links.groupBy("u").agg(F.min("v").alias("m"))
-        joined = links.join(least, "u")
+        joined = links.join(least.hint("merge"), "u")
         tied = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return tied.where("u > v").distinct()
 
@@ -41,6 +42,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     digest = _digest(edges)
     for _ in range(max_rounds):
         edges = written(_towards_minimum(_towards_minimum(edges, True), False))
+        collect_garbage(edges.sparkSession)
         before, digest = digest, _digest(edges)
         if before == digest:
             break

@@ -145,7 +145,7 @@ def _routes(plan: DataFrame) -> tuple[DataFrame, int]:
     takes = takes.join(F.broadcast(cuts), (F.col("source_no") == F.col("_no")) & (F.col("take") == F.col("_take")) & (F.col("key") <= F.col("cut"))).drop("_no", "_take")
     time = lambda place: _position(F.col(place) + F.col("take") * F.col("source_size"), F.col("target"), F.col("slope"))
     takes = written(takes.withColumn("position", time("place")).withColumn("until", time("last")))
-    parts = min(4096, 4 * int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(4096, 2 * int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = takes.agg(F.percentile_approx("position", [i / parts for i in range(1, parts)], F.lit(20 * parts))).first()[0]
     bounds = sorted(set(found or []))
     part = lambda col: _rank(F.array(*map(F.lit, bounds)), F.col(col), len(bounds)) if bounds else F.lit(0)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidestore.llm._frames import lean, mapped, own_names, written
+from tidestore.llm._frames import collect_garbage, lean, mapped, own_names, written
 from tidestore.llm._text import chunks, mix, ngrams, words
 from tidestore.llm.components import connected_components
 
@@ -288,6 +288,7 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     reps = classes.select("id", "n_shingles", "signature")
 
     keys, rows = written(_band_keys(reps, params)), params.rows
+    collect_garbage(docs.sparkSession)
     copies = sets.select("doc_id", "set_hi", "set_lo", "n_shingles").join(classes.drop("signature"), ["set_hi", "set_lo", "n_shingles"]).select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     found, links = None, None
     while True:
@@ -302,6 +303,7 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
         if last or crowded.limit(1).count() == 0:
             break
         rows *= 2
+        collect_garbage(docs.sparkSession)
         keys = written(_finer_keys(reps.join(crowded, "id", "left_semi"), rows, params))
     # copies are star links to their representative; a repeated id ties the classes of its rows together
     repeated = copies.groupBy("b").agg(F.min("a").alias("a"), F.max("a").alias("z")).where("a != z").select("b").join(copies, "b").select("a", "b")
