@@ -98,7 +98,7 @@ def test_features_are_the_distinct_groups(rows):
     texts = [t for _, t in rows[0][:60]] + ["", "one", "one one one", "a b a b a"]
     raw = [t.encode() for t in texts]
     data, offs = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw])))
-    feature, at = toxicity._extractor(26)(data, offs)
+    feature, at = toxicity._extractor(30)(data, offs)
     seen = {}
     for i, t in enumerate(texts):
         own = pieces(t, [(0,), (0, 1), (0, 2)])
@@ -111,7 +111,8 @@ def test_features_are_the_distinct_groups(rows):
         grams = {r[k : k + n] for n in (1, 2, 3) for k in range(len(r) - n + 1)}
         lengths = [min(31, len(x.encode())) for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
         shapes = {tuple(lengths[k : k + n]) for n in (2, 3, 4) for k in range(len(lengths) - n + 1)}
-        assert at[i + 1] - at[i] == len(grams) + len(pieces(t, [(0,), (0, 1)])) + len(shapes)
+        lost = len(grams) + len(pieces(t, [(0,), (0, 1)])) + len(shapes) - (at[i + 1] - at[i])
+        assert 0 <= lost <= 1  # two features of a document may share a number
 
 
 def test_ftrl_equals_plain_loops():
